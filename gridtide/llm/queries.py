@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, quality, token_counts, token_files
+from . import bpe, decontamination, near_duplicates, quality, token_counts, token_files
 from .common import new_path, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token_ids")
     token_files.write_token_ids(read_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_quality_rules": op6_quality_rules,
+    "op7_near_duplicates": op7_near_duplicates,
     "op10_token_files": op10_token_files,
 }
 
