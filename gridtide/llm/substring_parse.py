@@ -6,7 +6,7 @@ bytes of its strings, at most 66. So triggers parse a text into phrases that ove
 49 bytes, no phrase depends on what lies outside it, and equal 50-byte strings have equal
 triggers, wherever they stand.
 
-The corpus is kept as batches of texts, partitioned by batch and checkpointed, and read three times:
+The corpus is kept as batches of texts, in a table bucketed by batch, and read three times:
 
 1. Distinct triggers of each batch meet by value. Phrases whose trigger stands only once in the corpus
    are unlike any other and leave.
@@ -22,7 +22,7 @@ phrase crosses once for each batch, so a passage that a third of all documents s
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, shared_dir, staged, text_bytes
+from .common import bounded_batches, staged, text_bytes
 
 MATCH, GRAM = 50, 34
 REACH = MATCH - GRAM + 1
@@ -211,9 +211,10 @@ def _batches(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
         if held:
             yield one()
 
-    spark = docs.sparkSession
-    shared_dir(spark)
-    return whole.mapInArrow(pack, schema).repartition(parts, "batch").checkpoint()
+    # A bucketed table in the shared warehouse: later joins on batch leave the texts where they are.
+    table = f"gridtide_batches_{uuid.uuid4().hex}"
+    whole.mapInArrow(pack, schema).repartition(parts, "batch").write.option("compression", "none").bucketBy(parts, "batch").saveAsTable(table)
+    return docs.sparkSession.table(table)
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
