@@ -155,5 +155,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
     model = fit_quality_model(with_votes(quality_figures(docs.select("text"))))
-    kept = judged(with_votes(quality_figures(docs)), model).filter("kept")
-    return kept.select("doc.*")
+    # The row number keeps the optimizer from pushing the filter, and with it a second copy of all figures, below them.
+    kept = judged(with_votes(quality_figures(docs)), model).select("doc", "kept", F.monotonically_increasing_id().alias("row"))
+    return kept.filter("kept AND row >= 0").select("doc.*")
