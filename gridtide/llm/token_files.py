@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,35 +24,58 @@ from .common import bounded_batches, field, text_bytes
 FILE_BYTES = 64 << 20
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 300_000
+#: New words given to the library in one text.
+JOINED_WORDS = 500
 
 _WORDS: dict = {}
 
 
-class WordIds(dict):
-    """Ids of words as the library gives them; each is encoded once while it is remembered."""
+class WordIds:
+    """Ids of words as the library gives them. A worker remembers the first MEMORY_WORDS, which holds the frequent ones."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self._library.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self._mark = next((x.content for x in self._library.get_added_tokens_decoder().values() if x.special and not x.single_word), None)
+        self._mark_id = self._library.token_to_id(self._mark) if self._mark else None
+        self._known: dict[str, tuple[int, ...]] = {}
+
+    def _encoded(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Many words in one call: the library cuts a text at its special string, so that stands between them."""
+        plain = [w for w in words if self._mark and self._mark not in w]
+        texts = [self._mark.join(plain[k : k + JOINED_WORDS]) for k in range(0, len(plain), JOINED_WORDS)]
+        found: dict[str, tuple[int, ...]] = {}
+        for k, ids in enumerate(x.ids for x in self._library.encode_batch_fast(texts, add_special_tokens=False)):
+            runs: list[list[int]] = [[]]
+            for i in ids:
+                if i == self._mark_id:
+                    runs.append([])
+                else:
+                    runs[-1].append(i)
+            found.update(zip(plain[k * JOINED_WORDS : (k + 1) * JOINED_WORDS], map(tuple, runs), strict=True))
+        return [found[w] if w in found else tuple(self._library.encode(w, add_special_tokens=False).ids) for w in words]
+
+    def encode(self, texts: list[list[str]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, given as words, with end_id after each, and where each text's ids end."""
+        known = self._known
+        new = [w for w in set(chain.from_iterable(texts)) if w not in known]
+        known.update(zip(new, self._encoded(new), strict=True))
+        ids = [list(chain.from_iterable(map(known.__getitem__, words))) for words in texts]
+        if len(known) > MEMORY_WORDS:
+            for w in new:
+                del known[w]
+        ends = np.cumsum([len(x) + 1 for x in ids])
+        return np.fromiter(chain.from_iterable(chain(x, (end_id,)) for x in ids), np.int32, ends[-1] if len(ends) else 0), ends
 
 
 def _word_ids(path: str) -> WordIds:
     if path not in _WORDS:
         _WORDS[path] = WordIds(path)
-    if len(_WORDS[path]) > MEMORY_WORDS:
-        _WORDS[path].clear()
     return _WORDS[path]
 
 
@@ -74,16 +98,10 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, text: str = "
 
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids_of = _word_ids(tokenizer).__getitem__
-            flat: list[int] = []
-            ends = [0]
-            for value in batch.column(1).to_pylist():
-                for ids in map(ids_of, value.replace("\n", " ").split(" ")):
-                    flat += ids
-                flat.append(end_id)
-                ends.append(len(flat))
-            offsets = np.asarray(ends, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+            words = [value.replace("\n", " ").split(" ") for value in batch.column(1).to_pylist()]
+            flat, ends = _word_ids(tokenizer).encode(words, end_id)
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), pa.array(np.diff(offsets).astype(np.int64)), ids], names=schema.names)
             row += n
