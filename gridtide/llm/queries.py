@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html_text, near_duplicates, quality, sharding, substring_parse, token_counts, token_files
+from . import bpe, decontamination, html_text, near_duplicates, passages, quality, sharding, substring_parse, token_counts, token_files
 from .common import new_path, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_report(read_table(spark, sf_dir, "documents"), new_path(spark, "store"))
 
 
+def op9_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token_ids")
     token_files.write_token_ids(read_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_sharding": op8_sharding,
+    "op9_near_passages": op9_near_passages,
     "op10_token_files": op10_token_files,
 }
 
