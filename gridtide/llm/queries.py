@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontamination, html_text, near_duplicates, passages, quality, sharding, substring_parse, token_counts, token_files
 from .common import new_path, read_table
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,4 +82,4 @@ QUERIES: dict[str, Query] = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {"op8_sharding": sharding.SHARDED_SQL}
+__all__ = ["ORACLES", "QUERIES"]
