@@ -7,10 +7,13 @@ with at most CHUNK_ERRORS differing slots; so each chunk is indexed under every
 slots left out, and all pairs under the distance meet in a bucket.
 (A pair with similarity 0.85 fails to meet with a probability of about 2e-9.)
 
-Pairs that meet are confirmed on full sets. Copies (equal sets) are one class and count once.
-Not all pairs in a bucket have to be confirmed to know the components: first
-each class is paired with the smallest of its bucket; then only classes of the same bucket
-that are still in different components are paired, all of them, so that no link that could join two components is lost.
+Copies (equal sets) are one class and count once. Pairs that meet are confirmed on full sets, after a bound that
+loses none: an odd sketch (one bit for each remainder of the hashes, flipped by each) of two sets differs in no more bits
+than the sets differ in elements, so pairs whose sketches differ in more bits than a link allows are no links.
+
+Not all pairs in a bucket have to be confirmed to know the components. First each class is paired with the
+hub of its bucket, the class that meets most others. Then only classes of the same bucket that are still in different components
+are paired, all of them, each pair in the first bucket it shares; so no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +34,9 @@ WORDS = 5
 SLOTS, CHUNK, CHUNK_ERRORS = 36, 4, 1
 MAX_DISTANCE = SLOTS // CHUNK * (CHUNK_ERRORS + 1) - 1
 SLOT_BITS = 16
+SKETCH_BITS = 1024
+#: Slots that each of a chunk's keys is made of.
+KEPT_SLOTS = tuple(combinations(range(CHUNK), CHUNK - CHUNK_ERRORS))
 
 _RNG = np.random.default_rng(20240501)
 _POWERS = np.cumprod(np.full(256, _RNG.integers(1, 1 << 63, dtype=np.uint64) | np.uint64(1), np.uint64))
@@ -96,42 +102,61 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(64 - SLOT_BITS)).astype(np.uint16)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits, each the parity of the hashes with that remainder, as longs."""
+    return np.packbits(np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).view(np.int64)
+
+
+def _longs(rows: list[np.ndarray], width: int) -> pa.Array:
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(flat))
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets([(x or "").encode() for x in batch.column(1).to_pylist()])
         n = pa.array([len(x) for x in sets], pa.int64())
         digest = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary())
-        signs = pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), n, digest, signs], names=["doc_id", "n", "digest", "sig"])
+        chunks = _longs([signature(x).view(np.int64) for x in sets], SLOTS // CHUNK)
+        odd = _longs([odd_sketch(x) for x in sets], SKETCH_BITS // 64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), n, digest, chunks, odd], names=["doc_id", "n", "digest", "chunks", "odd"])
 
 
 def _bucket_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk with every choice of CHUNK_ERRORS slots left out, as one long."""
-    keeps = [list(x) for x in combinations(range(CHUNK), CHUNK - CHUNK_ERRORS)]
+    """Each chunk with every choice of CHUNK_ERRORS slots left out, as one long, and the number of chunk and choice."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SLOTS).astype(np.uint64)
+        signs = np.asarray(batch.column(1).flatten()).view(np.uint16).reshape(-1, SLOTS).astype(np.uint64)
         keys = []
         for chunk in range(SLOTS // CHUNK):
-            for k, keep in enumerate(keeps):
-                key = np.full(len(signs), chunk * len(keeps) + k, np.uint64)
-                for slot in keep:
+            for kept in KEPT_SLOTS:
+                key = np.full(len(signs), len(keys), np.uint64)
+                for slot in kept:
                     key = (key << np.uint64(SLOT_BITS)) | signs[:, chunk * CHUNK + slot]
                 keys.append(key)
         cls = np.repeat(np.asarray(batch.column(0)), len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys, 1).ravel().view(np.int64)), pa.array(cls)], names=["key", "cls"])
+        k = np.tile(np.arange(len(keys), dtype=np.int32), len(signs))
+        yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys, 1).ravel().view(np.int64)), pa.array(cls), pa.array(k)], names=["key", "cls", "k"])
 
 
-def _close(columns: list[pa.Array]) -> np.ndarray:
-    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, SLOTS) for x in columns)
-    return (a != b).sum(1) <= MAX_DISTANCE
+def _first_shared(a: str, b: str) -> Column:
+    """The number of the first key that two classes share, from their chunks."""
+    first = None
+    for k in range(SLOTS // CHUNK * len(KEPT_SLOTS)):
+        chunk, kept = k // len(KEPT_SLOTS), KEPT_SLOTS[k % len(KEPT_SLOTS)]
+        mask = sum(((1 << SLOT_BITS) - 1) << (SLOT_BITS * slot) for slot in kept)
+        differs = F.get(F.col(a), F.lit(chunk)).bitwiseXOR(F.get(F.col(b), F.lit(chunk))).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        first = F.when(differs == 0, k) if first is None else first.when(differs == 0, k)
+    return first
 
 
-def _near_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.select([0, 1]).filter(pa.array(_close(batch.columns[2:4])))
+def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
+    """False where sizes or sketches show that two sets are no link. With s elements in both and d in one only,
+    a link has d * (100 + percent) <= s * (100 - percent), and sketches differ in at most d bits."""
+    bits = sum(F.bit_count(F.get(F.col(f"odd_{a}"), F.lit(i)).bitwiseXOR(F.get(F.col(f"odd_{b}"), F.lit(i)))) for i in range(SKETCH_BITS // 64))
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (bits * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -201,34 +226,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    schema = T.StructType([field(texts, "doc_id"), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([field(texts, "doc_id"), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("chunks", longs), T.StructField("odd", longs)])
     signed = staged(texts.mapInArrow(_signed, schema), "signed")
-    per_class = signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = staged(per_class.select(F.monotonically_increasing_id().alias("cls"), "digest", "rep", "n", "sig"), "classes")
-
-    keys = classes.select("cls", "sig").mapInArrow(_bucket_keys, "key long, cls long")
-    shared = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
-    members = staged(keys.join(shared.select("key", "lo"), "key"), "members")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs, those within size and signature distance."""
-        def side(x: str) -> DataFrame:
-            return classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-        return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_near_signatures, "a long, b long")
-
-    stars = members.filter("lo < cls").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _confirmed(near(stars), classes, texts, percent)
+    per_class = signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n", "chunks", "odd")).alias("s"))
+    classes = staged(per_class.select(F.monotonically_increasing_id().alias("cls"), "digest", "rep", "s.*"), "classes")
+
+    keys = classes.select("cls", "chunks").mapInArrow(_bucket_keys, "key long, cls long, k int")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = staged(keys.join(shared, "key"), "members")
+    weights = members.groupBy("cls").agg(F.sum("size").alias("weight"))
+    hubs = members.join(weights, "cls").groupBy("key").agg(F.max(F.struct("weight", "cls"))["cls"].alias("hub"))
+    with_hub = staged(members.join(hubs, "key").select("key", "k", "cls", "hub").filter("cls <> hub"), "with_hub")
+
+    def side(x: str, *more: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "odd", *more)])
+
+    stars = with_hub.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
+    near_stars = stars.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent)).select("a", "b")
+    links = _confirmed(near_stars, classes, texts, percent)
     labels = component_labels(links)
 
-    # Members of a bucket whose components differ still: every pair of them that was not compared.
-    labelled = members.join(labels, "cls", "left").select("key", "cls", "lo", F.coalesce("label", "cls").alias("label"))
+    # Members of a bucket, but its hub, whose components differ still.
+    labelled = with_hub.join(labels, "cls", "left").select("key", "k", "cls", F.coalesce("label", "cls").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one < two").select("key")
-    open_members = staged(labelled.join(mixed, "key"), "open_members")
-    x = open_members.select("key", F.col("cls").alias("a"), F.col("label").alias("label_a"), "lo")
-    y = open_members.select("key", F.col("cls").alias("b"), F.col("label").alias("label_b"))
-    across = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.col("a") != F.col("lo"))).select("a", "b").distinct()
-    more = _confirmed(near(across), classes, texts, percent)
+    open_members = staged(labelled.join(mixed, "key").join(classes.select("cls", "n", "chunks", "odd"), "cls"), "open_members")
+    x, y = (open_members.select("key", *(["k"] if s == "a" else []), F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "n", "chunks", "odd")]) for s in ("a", "b"))
+    new = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_link(percent) & (F.col("k") == _first_shared("chunks_a", "chunks_b"))
+    across = x.withColumnRenamed("key", "key_a").join(y, (F.col("key_a") == F.col("key")) & new).select("a", "b")
+    more = _confirmed(across, classes, texts, percent)
     labels = component_labels(links.unionByName(more))
 
     component = classes.join(labels, "cls", "left").select("digest", "rep", F.coalesce("label", "cls").alias("label"))
