@@ -18,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,22 @@ def count_pieces(units: DataFrame, tokenizer: str) -> DataFrame:
     return units.select("unit", "n").mapInArrow(count, "unit string, n long, n_tokens int")
 
 
+def _rank(n: str) -> Column:
+    """Frequencies in a few hundred classes, by eighths of powers of two."""
+    return F.floor(F.log2(n) * 8)
+
+
+def head_rank(vocabulary: DataFrame, head_size: int) -> int:
+    """The lowest class such that it and those above hold at most head_size units; one small row for each class is read."""
+    held = 0
+    classes = vocabulary.groupBy(_rank("n").alias("rank")).agg(F.count("*").alias("units")).collect()
+    for row in sorted(classes, reverse=True):
+        held += row["units"]
+        if held > head_size:
+            return row["rank"] + 1
+    return 0
+
+
 def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), head_size: int = HEAD_SIZE) -> DataFrame:
     """``keep``, n_bytes long, n_tokens long; one row for each row of docs.
 
@@ -86,7 +102,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
     texts = docs.select(F.coalesce(docs[text], F.lit("")).alias("__text"))
     units = texts.mapInArrow(_partial_counts, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     vocabulary = staged(count_pieces(units, tokenizer), "vocabulary")
-    head = vocabulary.orderBy(F.desc("n"), "unit").limit(head_size).toArrow()
+    head = vocabulary.filter(_rank("n") >= head_rank(vocabulary, head_size)).toArrow()
     known = spark.sparkContext.broadcast(dict(zip(head["unit"].to_pylist(), head["n_tokens"].to_pylist(), strict=True)))
 
     parts = T.StructType([T.StructField("__row", T.LongType()), T.StructField("doc", T.StructType(kept)), T.StructField("n_bytes", T.LongType()), T.StructField("unit", T.StringType()), T.StructField("freq", T.LongType())])
