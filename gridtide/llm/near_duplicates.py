@@ -35,6 +35,7 @@ SLOTS, CHUNK, CHUNK_ERRORS = 36, 4, 1
 MAX_DISTANCE = SLOTS // CHUNK * (CHUNK_ERRORS + 1) - 1
 SLOT_BITS = 16
 SKETCH_BITS = 1024
+ID_HASHES = 1 << 20
 #: Slots that each of a chunk's keys is made of.
 KEPT_SLOTS = tuple(combinations(range(CHUNK), CHUNK - CHUNK_ERRORS))
 
@@ -188,7 +189,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "set"])
             yield out.filter(pa.array(same, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").alias("__d"), "text")
+    # Most texts aren't wanted: hashes of the ids, at most ID_HASHES rows however large the corpus, drop them before the shuffle.
+    def hashed_id(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(ID_HASHES))
+
+    some = wanted.select(hashed_id("rep").alias("__h")).distinct()
+    texts = docs.select(F.col("doc_id").alias("__d"), "text", hashed_id("doc_id").alias("__h")).join(F.broadcast(some), "__h", "left_semi")
     found = wanted.join(texts, F.col("rep").eqNullSafe(F.col("__d"))).select("cls", "digest", "text")
     return found.mapInArrow(hashed, "cls long, set binary")
 
@@ -197,7 +203,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
     pairs = staged(pairs, "pairs")
     members = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = staged(_sets_of(docs, members.join(classes.select("cls", "digest", "rep"), "cls")).dropDuplicates(["cls"]), "sets", compression="none")
+    wanted = staged(members.join(classes.select("cls", "digest", "rep"), "cls"), "wanted")
+    sets = staged(_sets_of(docs, wanted).dropDuplicates(["cls"]), "sets", compression="none")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
