@@ -179,6 +179,11 @@ def component_labels(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """A side that grows with the corpus: joined by sorting at every size, never broadcast."""
+    return side.hint("merge")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls and set (binary) of the classes in wanted (cls, digest, rep): the texts of their first documents are hashed again."""
 
@@ -195,7 +200,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     some = wanted.select(hashed_id("rep").alias("__h")).distinct()
     texts = docs.select(F.col("doc_id").alias("__d"), "text", hashed_id("doc_id").alias("__h")).join(F.broadcast(some), "__h", "left_semi")
-    found = wanted.join(texts, F.col("rep").eqNullSafe(F.col("__d"))).select("cls", "digest", "text")
+    found = _merged(wanted).join(texts, F.col("rep").eqNullSafe(F.col("__d"))).select("cls", "digest", "text")
     return found.mapInArrow(hashed, "cls long, set binary")
 
 
@@ -203,7 +208,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
     pairs = staged(pairs, "pairs")
     members = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = staged(members.join(classes.select("cls", "digest", "rep"), "cls"), "wanted")
+    wanted = staged(members.join(_merged(classes.select("cls", "digest", "rep")), "cls"), "wanted")
     sets = staged(_sets_of(docs, wanted).dropDuplicates(["cls"]), "sets", compression="none")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +222,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
                 keep.append(100 * common >= percent * (len(both) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+    joined = pairs.join(_merged(sets.select(F.col("cls").alias("a"), F.col("set").alias("x"))), "a").join(_merged(sets.select(F.col("cls").alias("b"), F.col("set").alias("y"))), "b")
     return staged(joined.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "links")
 
 
@@ -241,26 +246,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     keys = classes.select("cls", "chunks").mapInArrow(_bucket_keys, "key long, cls long, k int")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = staged(keys.join(shared, "key"), "members")
+    members = staged(keys.join(_merged(shared), "key"), "members")
     weights = members.groupBy("cls").agg(F.sum("size").alias("weight"))
-    hubs = members.join(weights, "cls").groupBy("key").agg(F.max(F.struct("weight", "cls"))["cls"].alias("hub"))
-    with_hub = staged(members.join(hubs, "key").select("key", "k", "cls", "hub").filter("cls <> hub"), "with_hub")
+    hubs = members.join(_merged(weights), "cls").groupBy("key").agg(F.max(F.struct("weight", "cls"))["cls"].alias("hub"))
+    with_hub = staged(members.join(_merged(hubs), "key").select("key", "k", "cls", "hub").filter("cls <> hub"), "with_hub")
 
     def side(x: str, *more: str) -> DataFrame:
         return classes.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "odd", *more)])
 
     stars = with_hub.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
-    near_stars = stars.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent)).select("a", "b")
+    near_stars = stars.join(_merged(side("a")), "a").join(_merged(side("b")), "b").filter(_may_link(percent)).select("a", "b")
     links = _confirmed(near_stars, classes, texts, percent)
     labels = component_labels(links)
 
     # Members of a bucket, but its hub, whose components differ still.
-    labelled = with_hub.join(labels, "cls", "left").select("key", "k", "cls", F.coalesce("label", "cls").alias("label"))
+    labelled = with_hub.join(_merged(labels), "cls", "left").select("key", "k", "cls", F.coalesce("label", "cls").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one < two").select("key")
-    open_members = staged(labelled.join(mixed, "key").join(classes.select("cls", "n", "chunks", "odd"), "cls"), "open_members")
+    open_members = staged(labelled.join(_merged(mixed), "key").join(_merged(classes.select("cls", "n", "chunks", "odd")), "cls"), "open_members")
     x, y = (open_members.select("key", *(["k"] if s == "a" else []), F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "n", "chunks", "odd")]) for s in ("a", "b"))
     new = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_link(percent) & (F.col("k") == _first_shared("chunks_a", "chunks_b"))
-    across = x.withColumnRenamed("key", "key_a").join(y, (F.col("key_a") == F.col("key")) & new).select("a", "b")
+    across = x.withColumnRenamed("key", "key_a").join(_merged(y), (F.col("key_a") == F.col("key")) & new).select("a", "b")
     more = _confirmed(across, classes, texts, percent)
     labels = component_labels(links.unionByName(more))
 
