@@ -20,21 +20,22 @@ KEYS = ("key", "target_utc", "horizon_hours")
 
 @dataclass(frozen=True)
 class Config:
-    """One row of a grid: family linear (regParam) or trees (maxDepth, maxIter)."""
+    """One row of a grid: family linear (regParam) or trees (maxDepth, maxIter, stepSize)."""
 
     name: str
     family: str
     reg: float = 0.0
     depth: int = 4
     rounds: int = 10
+    step: float = 0.1
 
     def estimator(self):
         if self.family == "linear":
             return LinearRegression(featuresCol="features", labelCol="label", predictionCol="raw_prediction", solver="normal", standardization=True, regParam=self.reg, elasticNetParam=0.0)
-        return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="raw_prediction", maxDepth=self.depth, maxIter=self.rounds, stepSize=0.1, seed=SEED)
+        return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="raw_prediction", maxDepth=self.depth, maxIter=self.rounds, stepSize=self.step, seed=SEED)
 
 
-GRID = (Config("linear_0.01", "linear", 0.01), Config("linear_0.1", "linear", 0.1), Config("linear_1", "linear", 1.0), Config("trees_3", "trees", depth=3, rounds=5), Config("trees_4", "trees", depth=4, rounds=5))
+GRID = (Config("linear_0.01", "linear", 0.01), Config("linear_0.1", "linear", 0.1), Config("linear_1", "linear", 1.0), Config("trees_4", "trees", depth=4, rounds=15, step=0.1), Config("trees_5", "trees", depth=5, rounds=25, step=0.05))
 
 
 def model_columns(df: DataFrame, contract: FeatureContract) -> DataFrame:

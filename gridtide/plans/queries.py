@@ -526,19 +526,24 @@ def ml_matrix(spark, sf):
     return naive(ml.matrix(prepared, _horizon(spark, sf, "validation"), CONTRACT_A).withColumn("features", vector_to_array("features")))
 
 
-def _predicted(spark, sf, config: ml.Config) -> DataFrame:
+def _predicted(spark, sf, *configs: ml.Config) -> DataFrame:
     train = _horizon(spark, sf, "train").persist()
-    return rounded(ml.evaluate_frozen(train, _horizon(spark, sf, "validation"), CONTRACT_A, config))
+    validation = _horizon(spark, sf, "validation")
+    done = None
+    for config in configs:
+        one = ml.evaluate_frozen(train, validation, CONTRACT_A, config).withColumn("config", F.lit(config.name))
+        done = one if done is None else done.unionByName(one)
+    return rounded(done)
 
 
 @query("ml_linear")
 def ml_linear(spark, sf):
-    return _predicted(spark, sf, ml.Config("linear_0.1", "linear", 0.1))
+    return _predicted(spark, sf, ml.Config("linear_0.1", "linear", 0.1)).drop("config")
 
 
 @query("ml_gbt")
 def ml_gbt(spark, sf):
-    return _predicted(spark, sf, ml.Config("trees_3", "trees", depth=3, rounds=5))
+    return _predicted(spark, sf, *[c for c in ml.GRID if c.family == "trees"])
 
 
 def _grid_scores(spark, sf) -> DataFrame:

@@ -89,3 +89,10 @@ def test_trees_are_repeatable_and_grid_scores_validation(spark):
     assert {x.config for x in ml.select_configs(scores).collect()} == {"l", "t"}
     a, b = (sorted(x.prediction for x in ml.evaluate_frozen(frame(spark, rows), frame(spark, rows), SMALL, ml.Config("t", "trees", depth=2, rounds=2)).collect()) for _ in range(2))
     assert a == pytest.approx(b) and min(a) >= 0
+
+
+def test_grid_holds_the_whole_tree_grid():
+    trees = [(c.depth, c.rounds, c.step) for c in ml.GRID if c.family == "trees"]
+    assert trees == [(4, 15, 0.1), (5, 25, 0.05)]
+    made = [c.estimator() for c in ml.GRID if c.family == "trees"]
+    assert [(x.getMaxDepth(), x.getMaxIter(), x.getStepSize()) for x in made] == trees
