@@ -512,28 +512,38 @@ def ml_vocab(spark, sf):
     return ml.vocabulary_table(_train(spark, sf), CONTRACT_A).withColumn("position", F.col("position").cast("long"))
 
 
-def _horizon(spark, sf, split: str, hours: int = 1) -> DataFrame:
-    rows = splits.paired_population(base.feature_rows(spark, sf))
-    return rows.filter((F.col("split") == split) & (F.col("horizon_hours") == hours))
+def _each_horizon(spark, sf, made) -> DataFrame:
+    """The union of made(train, validation, contract) over all horizons and both feature sets."""
+    rows = splits.paired_population(base.feature_rows(spark, sf)).filter("split <> 'test'").persist()
+    done = None
+    for hours in SPEC.horizons:
+        train, validation = (rows.filter((F.col("split") == s) & (F.col("horizon_hours") == hours)) for s in ("train", "validation"))
+        for contract in (CONTRACT_A, CONTRACT_B):
+            one = made(train, validation, contract)
+            done = one if done is None else done.unionByName(one)
+    return done
 
 
 @query("ml_matrix")
 def ml_matrix(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    train = _horizon(spark, sf, "train").persist()
-    prepared = ml.fit_preprocessing(train, CONTRACT_A)
-    return naive(ml.matrix(prepared, _horizon(spark, sf, "validation"), CONTRACT_A).withColumn("features", vector_to_array("features")))
+    def made(train, validation, contract):
+        rows = ml.matrix(ml.fit_preprocessing(train, contract), validation, contract)
+        return rows.withColumns({"features": vector_to_array("features"), "feature_set": F.lit(contract.name)})
+
+    return naive(_each_horizon(spark, sf, made))
 
 
 def _predicted(spark, sf, *configs: ml.Config) -> DataFrame:
-    train = _horizon(spark, sf, "train").persist()
-    validation = _horizon(spark, sf, "validation")
-    done = None
-    for config in configs:
-        one = ml.evaluate_frozen(train, validation, CONTRACT_A, config).withColumn("config", F.lit(config.name))
-        done = one if done is None else done.unionByName(one)
-    return rounded(done)
+    def made(train, validation, contract):
+        done = None
+        for config in configs:
+            one = ml.evaluate_frozen(train, validation, contract, config).withColumn("config", F.lit(config.name))
+            done = one if done is None else done.unionByName(one)
+        return done
+
+    return rounded(_each_horizon(spark, sf, made))
 
 
 @query("ml_linear")

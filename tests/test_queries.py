@@ -50,3 +50,10 @@ def test_scans_are_pruned_and_hold_no_python(spark):
 def test_flagship(spark):
     if os.path.isdir(DATA):
         assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["ml_matrix", "ml_linear"])
+def test_models_see_all_horizons_and_feature_sets(spark, name):
+    got = panel.QUERIES[name](spark, DATA).groupBy("horizon_hours", "feature_set").count().collect()
+    assert {(x.horizon_hours, x.feature_set) for x in got} == {(h, s) for h in panel.SPEC.horizons for s in "AB"}
