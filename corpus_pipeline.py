@@ -13,6 +13,9 @@ from gridtide.llm import bpe, decontamination, near_duplicates, quality, substri
 from gridtide.llm.common import read_table, staged
 from gridtide.llm.queries import pattern, vocabulary
 
+#: Word shingles' similarity from which documents are near-duplicates here; op7's contract is 85.
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -22,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
-    return near_duplicates.keep_one(docs)
+    """The document with the smallest doc_id of each group of near-duplicates, of similarity NEAR_PERCENT or more."""
+    return near_duplicates.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,13 +275,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return signed.join(of_class, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "digest")
 
 
-def near_duplicate_report(docs: DataFrame) -> DataFrame:
+def near_duplicate_report(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return near_duplicates(docs, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each group: that with the smallest doc_id. Rows without a doc_id stay; of rows equal in doc_id and text one stays."""
-    kept = staged(near_duplicate_report(docs).filter("kept").groupBy(F.col("doc_id").alias("__d")).agg(F.count("*").alias("rows")), "kept")
+    kept = staged(near_duplicate_report(docs, percent).filter("kept").groupBy(F.col("doc_id").alias("__d")).agg(F.count("*").alias("rows")), "kept")
     found = docs.join(kept.select("__d"), docs["doc_id"].eqNullSafe(F.col("__d")), "left_semi")
     return found.dropDuplicates(["doc_id", "text"]) if kept.filter("rows > 1").limit(1).count() else found

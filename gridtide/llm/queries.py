@@ -52,7 +52,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicate_report(read_table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicate_report(read_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
