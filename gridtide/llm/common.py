@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python worker at a time. Documents are kilobytes, so the default of 10,000 rows would be large.
-ROWS_PER_BATCH = 512
+#: Rows and bytes handed to a Python worker at a time. Documents are kilobytes, so the default of 10,000 rows would be large.
+ROWS_PER_BATCH = 1024
+BYTES_PER_BATCH = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +23,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of documents to a bounded number of rows, and let local workers import this package."""
+    """Keep Arrow batches of documents to bounded rows and bytes (a longer text comes alone), and let local workers import this package."""
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -27,12 +31,13 @@ def bounded_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine), a temporary folder becomes the checkpoint folder.
+    Where a session on one machine names none (tests), a temporary folder becomes the checkpoint folder; on a cluster it has to be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -40,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-gridtide-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -48,9 +55,58 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"gridtide-{uuid.uuid4().hex}", name)
 
 
-def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+class Scratch:
+    """Folders and tables that operators write on the way to a result."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.tables: list[str] = []
+
+    def drop(self, spark: SparkSession) -> None:
+        """Remove them. Their DataFrames can't be read any more."""
+        for table in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for path in self.paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths, self.tables = [], []
+
+
+_OPEN: ContextVar[tuple[Scratch, ...]] = ContextVar("gridtide_scratch", default=())
+
+
+@contextmanager
+def collected(own: Scratch) -> Iterator[Scratch]:
+    """What is staged inside belongs to ``own``."""
+    token = _OPEN.set((*_OPEN.get(), own))
+    try:
+        yield own
+    finally:
+        _OPEN.reset(token)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """What is staged inside is removed at the end, but for what outlives it.
+
+    Operators' results are lazy and may read staged data; write such a result inside a scope of your own:
+    ``with scratch(spark): operator(docs).write.parquet(path)`` leaves nothing else behind.
+    """
+    own = Scratch()
+    try:
+        with collected(own):
+            yield own
+    finally:
+        own.drop(spark)
+
+
+def staged(df: DataFrame, name: str, *, outlives: bool = False, **options: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The folder belongs to the innermost open scope, or, if it ``outlives`` that, to the one around it.
+    """
     path = new_path(df.sparkSession, name)
+    owner(outlives).paths.append(path)
     writer = df.write
     for key, value in options.items():
         writer = writer.option(key.replace("__", "."), value)
@@ -58,6 +114,12 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def owner(outlives: bool = False) -> Scratch:
+    """The scope that new scratch data belongs to; outside of all scopes it is nobody's, and stays."""
+    scopes = _OPEN.get()[: -1 if outlives else None]
+    return scopes[-1] if scopes else Scratch()
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts, which sizes the shuffles that follow."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, staged, text_bytes
+from .common import bounded_batches, owner, staged, text_bytes
 
 MATCH, GRAM = 50, 34
 REACH = MATCH - GRAM + 1
@@ -42,35 +42,25 @@ BATCH_BYTES = 2 << 20
 PART_BYTES = 16 << 20
 CODE_BITS = 40
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = 0x9E3779B97F4A7C15
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, base: int, n: int) -> np.ndarray:
-    if len(_TABLES.get(name, ())) <= n:
-        _TABLES[name] = _powers(base, max(n, BATCH_BYTES + (BATCH_BYTES >> 1)))
-    return _TABLES[name][: n + 1]
+def rolling_hashes(data: np.ndarray) -> np.ndarray:
+    """The polynomial hash of the GRAM bytes from each place on, from those of half as many."""
+    h, width, total, have = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        if GRAM & width:  # the first bytes of the string by their hash, then the rest
+            total = h if total is None else total[: len(h) - have] * np.uint64(pow(_ODD, width, 1 << 64)) + h[have:]
+            have += width
+        if have == GRAM:
+            return total
+        h = h[:-width] * np.uint64(pow(_ODD, width, 1 << 64)) + h[width:]
+        width *= 2
 
 
 def triggers(data: np.ndarray) -> np.ndarray:
     """For each start of a 50-byte string, its trigger's hash, whose low 5 bits are the trigger's place modulo 32."""
-    n = len(data)
-    up, down = _table("up", int(_ODD), n), _table("down", _inverse(int(_ODD)), n)
-    prefix = np.empty(n + 1, np.uint64)
-    prefix[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
-    h = prefix[GRAM:] - prefix[:-GRAM]
-    h *= down[: len(h)]
+    h = rolling_hashes(data)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
@@ -213,6 +203,7 @@ def _batches(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
 
     # A bucketed table in the shared warehouse: later joins on batch leave the texts where they are.
     table = f"gridtide_batches_{uuid.uuid4().hex}"
+    owner().tables.append(table)
     whole.mapInArrow(pack, schema).repartition(parts, "batch").write.option("compression", "none").bucketBy(parts, "batch").saveAsTable(table)
     return docs.sparkSession.table(table)
 
