@@ -4,10 +4,10 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. SLOTS b-b
 set; the share of equal slots estimates the similarity. The slots are split in chunks. Two
 signatures that differ in at most MAX_DISTANCE slots leave, by the pigeonhole principle, some chunk
 with at most CHUNK_ERRORS differing slots; so each chunk is indexed under every choice of
-slots left out, and all pairs under the distance meet in a bucket.
-(A pair with similarity 0.85 fails to meet with a probability of about 2e-9.)
+slots left out, and all pairs under the distance meet in a bucket. Pairs that meet over that distance are dropped.
+(A pair with similarity 0.85 is missed with a probability of about 2e-9, one with 0.8 with about 2e-7.)
 
-Copies (equal sets) are one class and count once. Pairs that meet are confirmed on full sets, after a bound that
+Copies (equal sets) are one class and count once. Pairs within the distance are confirmed on full sets, after a bound that
 loses none: an odd sketch (one bit for each remainder of the hashes, flipped by each) of two sets differs in no more bits
 than the sets differ in elements, so pairs whose sketches differ in more bits than a link allows are no links.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, field, staged
+from .common import bounded_batches, field, scratch, staged
 
 WORDS = 5
 SLOTS, CHUNK, CHUNK_ERRORS = 36, 4, 1
 MAX_DISTANCE = SLOTS // CHUNK * (CHUNK_ERRORS + 1) - 1
 SLOT_BITS = 16
+#: Bits of each slot that the distance is measured by; slots that differ in none of them count as equal.
+PLANES = 8
 SKETCH_BITS = 1024
 ID_HASHES = 1 << 20
 #: Slots that each of a chunk's keys is made of.
@@ -95,12 +98,20 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
+    """SLOTS hashes of SLOT_BITS bits, each of the smallest value of one order. (The leading bits of the smallest value itself
+    would be nearly the same for all long texts.)"""
     best = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 4096):
         values = shingles[at : at + 4096, None] * _SEEDS
         values ^= values >> np.uint64(29)
         best = np.minimum(best, (values * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
-    return (best >> np.uint64(64 - SLOT_BITS)).astype(np.uint16)
+    return (_mix(best) >> np.uint64(64 - SLOT_BITS)).astype(np.uint16)
+
+
+def planes(signs: np.ndarray) -> np.ndarray:
+    """For each of the low PLANES bits of the slots, a long of that bit of all slots."""
+    bits = (signs.astype(np.uint64) >> np.arange(PLANES, dtype=np.uint64)[:, None]) & np.uint64(1)
+    return (bits << np.arange(SLOTS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def odd_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -118,9 +129,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets([(x or "").encode() for x in batch.column(1).to_pylist()])
         n = pa.array([len(x) for x in sets], pa.int64())
         digest = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary())
-        chunks = _longs([signature(x).view(np.int64) for x in sets], SLOTS // CHUNK)
+        signs = [signature(x) for x in sets]
+        chunks = _longs([x.view(np.int64) for x in signs], SLOTS // CHUNK)
+        bits = _longs([planes(x) for x in signs], PLANES)
         odd = _longs([odd_sketch(x) for x in sets], SKETCH_BITS // 64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), n, digest, chunks, odd], names=["doc_id", "n", "digest", "chunks", "odd"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), n, digest, chunks, bits, odd], names=["doc_id", "n", "digest", "chunks", "planes", "odd"])
 
 
 def _bucket_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +166,12 @@ def _first_shared(a: str, b: str) -> Column:
 
 
 def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
-    """False where sizes or sketches show that two sets are no link. With s elements in both and d in one only,
-    a link has d * (100 + percent) <= s * (100 - percent), and sketches differ in at most d bits."""
+    """False where signatures differ in more than MAX_DISTANCE slots, or sizes or sketches show that two sets are no link. With s elements
+    in both and d in one only, a link has d * (100 + percent) <= s * (100 - percent), and sketches differ in at most d bits."""
+    differing = reduce(Column.bitwiseOR, [F.get(F.col(f"planes_{a}"), F.lit(i)).bitwiseXOR(F.get(F.col(f"planes_{b}"), F.lit(i))) for i in range(PLANES)])
     bits = sum(F.bit_count(F.get(F.col(f"odd_{a}"), F.lit(i)).bitwiseXOR(F.get(F.col(f"odd_{b}"), F.lit(i)))) for i in range(SKETCH_BITS // 64))
     n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (bits * (100 + percent) <= (n_a + n_b) * (100 - percent))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (F.bit_count(differing) <= MAX_DISTANCE) & (bits * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -235,13 +249,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     if percent < 80:
         raise ValueError("the index is set for a similarity of 0.8 or more")
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    with scratch(docs.sparkSession):
+        return staged(_near_duplicates(docs, percent), "near_duplicates", outlives=True)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([field(texts, "doc_id"), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("chunks", longs), T.StructField("odd", longs)])
+    schema = T.StructType([field(texts, "doc_id"), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), *[T.StructField(c, longs) for c in ("chunks", "planes", "odd")]])
     signed = staged(texts.mapInArrow(_signed, schema), "signed")
-    per_class = signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n", "chunks", "odd")).alias("s"))
+    per_class = signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n", "chunks", "planes", "odd")).alias("s"))
     classes = staged(per_class.select(F.monotonically_increasing_id().alias("cls"), "digest", "rep", "s.*"), "classes")
 
     keys = classes.select("cls", "chunks").mapInArrow(_bucket_keys, "key long, cls long, k int")
@@ -252,7 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     with_hub = staged(members.join(_merged(hubs), "key").select("key", "k", "cls", "hub").filter("cls <> hub"), "with_hub")
 
     def side(x: str, *more: str) -> DataFrame:
-        return classes.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "odd", *more)])
+        return classes.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "planes", "odd", *more)])
 
     stars = with_hub.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
     near_stars = stars.join(_merged(side("a")), "a").join(_merged(side("b")), "b").filter(_may_link(percent)).select("a", "b")
@@ -262,8 +280,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Members of a bucket, but its hub, whose components differ still.
     labelled = with_hub.join(_merged(labels), "cls", "left").select("key", "k", "cls", F.coalesce("label", "cls").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one < two").select("key")
-    open_members = staged(labelled.join(_merged(mixed), "key").join(_merged(classes.select("cls", "n", "chunks", "odd")), "cls"), "open_members")
-    x, y = (open_members.select("key", *(["k"] if s == "a" else []), F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "n", "chunks", "odd")]) for s in ("a", "b"))
+    open_members = staged(labelled.join(_merged(mixed), "key").join(_merged(classes.select("cls", "n", "chunks", "planes", "odd")), "cls"), "open_members")
+    x, y = (open_members.select("key", *(["k"] if s == "a" else []), F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "n", "chunks", "planes", "odd")]) for s in ("a", "b"))
     new = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_link(percent) & (F.col("k") == _first_shared("chunks_a", "chunks_b"))
     across = x.withColumnRenamed("key", "key_a").join(_merged(y), (F.col("key_a") == F.col("key")) & new).select("a", "b")
     more = _confirmed(across, classes, texts, percent)
@@ -282,6 +300,7 @@ def near_duplicate_report(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each group: that with the smallest doc_id. Rows without a doc_id stay; of rows equal in doc_id and text one stays."""
-    kept = staged(near_duplicate_report(docs, percent).filter("kept").groupBy(F.col("doc_id").alias("__d")).agg(F.count("*").alias("rows")), "kept")
+    with scratch(docs.sparkSession):
+        kept = staged(near_duplicate_report(docs, percent).filter("kept").groupBy(F.col("doc_id").alias("__d")).agg(F.count("*").alias("rows")), "kept", outlives=True)
     found = docs.join(kept.select("__d"), docs["doc_id"].eqNullSafe(F.col("__d")), "left_semi")
     return found.dropDuplicates(["doc_id", "text"]) if kept.filter("rows > 1").limit(1).count() else found
