@@ -60,6 +60,57 @@ def test_one_of_two_writers_commits(spark, docs):
     assert sharding.versions(spark, root) == [1, 2]
 
 
+def ids(spark, root):
+    return Counter(x.doc_id for x in sharding.read(spark, root).select("doc_id").collect())
+
+
+def test_a_writer_between_read_and_commit_loses_nothing(spark, monkeypatch):
+    root, more = new_path(spark, "store"), [spark.range(k * 10, k * 10 + 2).withColumnRenamed("id", "doc_id").coalesce(1) for k in range(6)]
+    commit, waiting = sharding.commit, []
+
+    def late(spark, root, shards, version):
+        if waiting:  # another writer commits first
+            rows = waiting.pop()
+            assert sharding.append(rows, root) == [version]
+        return commit(spark, root, shards, version)
+
+    monkeypatch.setattr(sharding, "commit", late)
+    sharding.append(more[0], root)
+    waiting.append(more[1])
+    assert sharding.append(more[2], root) == [3]
+    assert ids(spark, root) == Counter([0, 1, 10, 11, 20, 21])
+    sharding.append(more[3], root)
+    waiting.append(more[4])
+    assert len(sharding.compact(spark, root)) == 1
+    assert ids(spark, root) == Counter(10 * k + j for k in range(5) for j in range(2))
+    assert len(sharding.runs(sharding.manifest(spark, root))) == 2
+
+
+def test_a_commit_that_dies_half_way_blocks_nobody(spark, docs, monkeypatch):
+    root = new_path(spark, "store")
+    sharding.append(docs, root)
+    with monkeypatch.context() as broken:
+        broken.setattr(sharding, "_move_if_free", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            sharding.append(docs, root)
+    assert sharding.versions(spark, root) == [1] and sharding.read(spark, root).count() == docs.count()
+    assert sharding.append(docs, root) == [2] and sharding.read(spark, root).count() == 2 * docs.count()
+    assert len(sharding.vacuum(spark, root)) == 0
+    assert len(sharding.vacuum(spark, root, older_than_seconds=0)) == 3  # one run, one manifest and its file
+    assert sharding.read(spark, root).count() == 2 * docs.count()
+
+
+def test_columns_keep_their_names_and_values(spark):
+    rows = [(k, f"t{k}", 7, "mine", "a", "b", 3) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, level int, sequence string, arrival string, source_arrival string, run int")
+    root = new_path(spark, "store")
+    sharding.append(docs, root)
+    assert Counter(map(tuple, sharding.read(spark, root).collect())) == Counter(rows)
+    facts = sharding.read(spark, root, run_facts="facts").select("facts.*").distinct().collect()
+    assert [tuple(x) for x in facts] == [(0, 1)]
+    assert {(x.doc_id, x.arrival) for x in sharding.sharded_report(docs, new_path(spark, "store")).collect()} == {(k, k % 8) for k in range(9)}
+
+
 def test_similar_runs_only():
     runs = [sharding.Run(str(k), k, 0, size, 1) for k, size in enumerate([100, 110, 90, 5000, 105, 120])]
     assert sorted(x.bytes for x in sharding.similar_runs(runs)) == [90, 100, 105, 110, 120]
@@ -69,4 +120,7 @@ def test_similar_runs_only():
 def test_arrivals(spark, docs, no_docs):
     got = sharding.sharded_report(docs.select("doc_id", "text"), new_path(spark, "store"))
     assert Counter((x.doc_id, x.arrival) for x in got.collect()) == Counter((x.doc_id, (x.doc_id or 0) % 8) for x in docs.collect())
-    assert sharding.append(no_docs, new_path(spark, "store")) in ([], [1])
+    root = new_path(spark, "store")
+    assert sharding.append(no_docs, root) == [1]
+    assert sharding.read(spark, root).columns == no_docs.columns and sharding.read(spark, root).count() == 0
+    assert sharding.sharded_report(no_docs, new_path(spark, "store")).count() == 0
