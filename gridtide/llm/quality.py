@@ -41,7 +41,8 @@ ROUNDS = 12
 #: The prior of a bad document before the first round, by the number of bad votes: none, one, more.
 FIRST_BAD = (0.05, 0.6, 0.95)
 SMOOTH = 1.0
-POSITION_BITS = 24
+#: Of a sorted long, the bits of a window's place: more than any array can hold.
+POSITION_BITS = 31
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_capitals", "n_marks")
 
 
@@ -153,8 +154,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    model = fit_quality_model(with_votes(quality_figures(docs.select("text"))))
-    # The row number keeps the optimizer from pushing the filter, and with it a second copy of all figures, below them.
-    kept = judged(with_votes(quality_figures(docs)), model).select("doc", "kept", F.monotonically_increasing_id().alias("row"))
-    return kept.filter("kept AND row >= 0").select("doc.*")
+    """The rows of docs that are kept, with their columns. Rows are staged with their votes, so that the texts are judged once."""
+    names = [f"vote_{name}" for name, _ in RULES]
+    votes = staged(with_votes(quality_figures(docs)).select("doc", "n_words", "n_repeat_words", *names), "votes")
+    return judged(votes, fit_quality_model(votes)).filter("kept").select("doc.*")
