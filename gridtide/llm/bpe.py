@@ -34,7 +34,7 @@ LEAF_CHARS = 8192
 #: Longer texts are cut into parts that are encoded by different tasks.
 PART_CHARS = 65536
 #: Units kept in a worker's table; it is emptied when full.
-MEMORY_UNITS = 400_000
+MEMORY_UNITS = 150_000
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _UNIT_START = re.compile(r"(?<=\S)(?= )")
