@@ -140,8 +140,21 @@ def decode_halves(ids: np.ndarray, tokens: np.ndarray, leaf_ids: int = 8192) ->
     return decode_halves(ids[:half], tokens, leaf_ids) + decode_halves(ids[half:], tokens, leaf_ids)
 
 
-def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), leaf_chars: int = LEAF_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
-    """Columns ``keep``, n_tokens long, and ids binary: little-endian unsigned 32-bit integers.
+_TOKENS: dict[str, np.ndarray] = {}
+
+
+def token_bytes(vocabulary: str) -> np.ndarray:
+    """The worker's table of what each id stands for."""
+    if vocabulary not in _TOKENS:
+        ranks = load_ranks(vocabulary)
+        _TOKENS[vocabulary] = np.empty(max(ranks.values()) + 1, dtype=object)
+        for token, rank in ranks.items():
+            _TOKENS[vocabulary][rank] = token
+    return _TOKENS[vocabulary]
+
+
+def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False, leaf_chars: int = LEAF_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
+    """Columns ``keep``, n_tokens long, and ids binary: little-endian unsigned 32-bit integers; with ``decoded``, also the bytes that the ids stand for.
 
     A null text counts as empty and gives no ids. Repeated rows each give a row. Columns of docs
     other than ``keep`` and ``text`` are ignored, whatever their names; ``keep`` may hold nulls.
@@ -149,18 +162,23 @@ def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "t
     that tasks encode independently; their elements meet by document and join in a tree.
     """
     bounded_batches(docs.sparkSession)
-    if {"n_tokens", "ids"} & set(keep):
-        raise ValueError("keep may not name n_tokens or ids")
+    given = ("n_tokens", "ids", "decoded")[: 3 if decoded else 2]
+    if set(given) & set(keep):
+        raise ValueError(f"keep may not name {', '.join(given)}")
     kept = [field(docs, name) for name in keep]
     rows = docs.select(*[docs[name] for name in keep], F.coalesce(docs[text], F.lit("")).alias("__text"))
-    out = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    out = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in given[1:]]])
     width = len(keep)
 
+    def results(ids: list[np.ndarray]) -> list[pa.Array]:
+        columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+        return [*columns, pa.array([decode_halves(x, token_bytes(vocabulary)) for x in ids], pa.binary())] if decoded else columns
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = unit_codes(vocabulary, pattern)
             ids = [close(encode_halves(value, codes, leaf_chars), codes) for value in batch.column(width).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=[*keep, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *results(ids)], names=out.names)
 
     is_long = F.char_length("__text") > part_chars
     short = rows.filter(~is_long).mapInArrow(encode, out)
@@ -192,7 +210,7 @@ def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "t
         whole = reduce_tree(elements, codes)
         runs = [codes[whole[0]]] if len(whole) == 1 else [codes[whole[0]], *whole[1], codes[whole[2]]]
         ids = np.concatenate([np.asarray(x, "<u4") for x in runs])
-        return pa.table([*[table[name].slice(0, 1) for name in keep], pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=[*keep, "n_tokens", "ids"])
+        return pa.table([*[table[name].slice(0, 1) for name in keep], *results([ids])], names=out.names)
 
     parts = rows.filter(is_long).select(*keep, F.monotonically_increasing_id().alias("__row"), "__text").mapInArrow(cut, part_schema)
     long = parts.repartition("__row", "__part").mapInArrow(encode_part, element_schema).groupBy("__row").applyInArrow(combine, out)
@@ -206,12 +224,8 @@ def decode_bpe(encoded: DataFrame, vocabulary: str, *, ids: str = "ids", keep: t
     width = len(keep)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(vocabulary)
-        tokens = np.empty(max(ranks.values()) + 1, dtype=object)
-        for token, rank in ranks.items():
-            tokens[rank] = token
         for batch in batches:
-            texts = [None if x is None else decode_halves(np.frombuffer(x, "<u4"), tokens) for x in batch.column(width).to_pylist()]
+            texts = [None if x is None else decode_halves(np.frombuffer(x, "<u4"), token_bytes(vocabulary)) for x in batch.column(width).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.binary())], names=[*keep, "decoded"])
 
     return encoded.select(*[encoded[name] for name in keep], encoded[ids].alias("__ids")).mapInArrow(decode, T.StructType([*kept, T.StructField("decoded", T.BinaryType())]))
@@ -219,5 +233,5 @@ def decode_bpe(encoded: DataFrame, vocabulary: str, *, ids: str = "ids", keep: t
 
 def encode_decode_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    both = decode_bpe(encode_bpe(docs, vocabulary, pattern), vocabulary)
+    both = encode_bpe(docs, vocabulary, pattern, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -125,6 +125,11 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """One column ``doc``, a struct of all columns of docs, whose names then clash with nothing."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+
+
 def field(docs: DataFrame, name: str):
     """The schema field of a column, made nullable."""
     from pyspark.sql.types import StructField

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import staged, wrapped
 
 WINDOW_WORDS = 10
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,4 +107,4 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a hit, with their columns. Rows meet their verdict on doc_id and the text's digest."""
     bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__d"), F.col("digest").alias("__g")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col("__g")), "left_anti")
+    return wrapped(docs).join(bad, F.col("doc.doc_id").eqNullSafe(F.col("__d")) & (F.md5(F.coalesce("doc.text", F.lit(""))) == F.col("__g")), "left_anti").select("doc.*")

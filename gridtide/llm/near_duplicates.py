@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, field, scratch, staged
+from .common import bounded_batches, field, scratch, staged, wrapped
 
 WORDS = 5
 SLOTS, CHUNK, CHUNK_ERRORS = 36, 4, 1
@@ -302,5 +302,7 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each group: that with the smallest doc_id. Rows without a doc_id stay; of rows equal in doc_id and text one stays."""
     with scratch(docs.sparkSession):
         kept = staged(near_duplicate_report(docs, percent).filter("kept").groupBy(F.col("doc_id").alias("__d")).agg(F.count("*").alias("rows")), "kept", outlives=True)
-    found = docs.join(kept.select("__d"), docs["doc_id"].eqNullSafe(F.col("__d")), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"]) if kept.filter("rows > 1").limit(1).count() else found
+    found = wrapped(docs).join(kept.select("__d"), F.col("doc.doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    if kept.filter("rows > 1").limit(1).count():
+        found = found.select("doc", F.col("doc.doc_id").alias("d"), F.col("doc.text").alias("t")).dropDuplicates(["d", "t"])
+    return found.select("doc.*")

@@ -42,8 +42,11 @@ def test_bpe_round_trip_is_the_librarys(docs, rows, vocabularies, tiktoken_encod
     for d, t in rows:
         ids = np.array(tiktoken_encoding.encode_ordinary(t or ""), "<u4").tobytes()
         want[d, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
-    got = bpe.encode_decode_digests(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+    path = vocabularies.path("byte_bpe_50k.tiktoken")
+    got = bpe.encode_decode_digests(docs, path, vocabularies.PATTERN)
     assert Counter(map(tuple, got.collect())) == want
+    apart = bpe.decode_bpe(bpe.encode_bpe(docs, path, vocabularies.PATTERN), path).select("doc_id", "n_tokens", F.sha2("ids", 256), F.sha2("decoded", 256))
+    assert Counter(map(tuple, apart.collect())) == want
 
 
 @pytest.mark.parametrize(("leaf", "part"), [(1, 50), (7, 64), (100, 1000)])
@@ -85,6 +88,16 @@ def test_token_files(spark, docs, rows, vocabularies):
     assert tokens.filter("doc_id = 4").count() == 1
 
 
+def test_token_ids_of_texts_that_pieces_may_not_cut(vocabularies):
+    import pyarrow as pa
+
+    path = vocabularies.path("word_bpe_49k.json")
+    texts = ["\u0130stanbul e\u0301", "a<|endoftext|>b", "it'S we'LL 's''s!!'s", "\x0b\x1c\x85\xa0a\u3000b c", "\ud55c\uad6d\uc5b4 \u1112\u1161", "\u00b2\u00b3 \u00bd \u2167 \u00aa", "x\ty\r\nz", "\u017f'\u017f K \u212a", "", "   ", "\U0001f600a\u200d", "\u0391\u03a3 \u1f48", "ab1234cd " * 3000]
+    flat, ends = token_files.WordIds(path).encode(pa.array(texts), 1)
+    want = [[*library(path).encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert [x.tolist() for x in np.split(flat, ends[:-1])] == want
+
+
 def test_token_files_of_nothing(spark, no_docs, vocabularies):
     path = new_path(spark, "ids")
     token_files.write_token_ids(no_docs, path, vocabularies.path("word_bpe_49k.json"))
