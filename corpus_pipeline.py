@@ -63,9 +63,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Columns of docs, and n_tokens and ids (little-endian unsigned 32-bit), which get a "_" where docs have such columns; texts are what the ids decode to."""
     others = [c for c in docs.columns if c != "text"]
-    path = vocabulary("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode_bpe(docs.select(F.struct(*[docs[c] for c in others]).alias("doc"), docs["text"].alias("text")), path, pattern(), keep=("doc",))
-    decoded = bpe.decode_bpe(encoded, path, keep=("doc", "n_tokens", "ids"))
+    decoded = bpe.encode_bpe(docs.select(F.struct(*[docs[c] for c in others]).alias("doc"), docs["text"].alias("text")), vocabulary("byte_bpe_50k.tiktoken"), pattern(), keep=("doc",), decoded=True)
     added = {c: c + "_" * next(k for k in range(len(others) + 1) if c + "_" * k not in others) for c in ("n_tokens", "ids")}
     return decoded.select(*[(F.col("decoded").cast("string") if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns], *[F.col(c).alias(name) for c, name in added.items()])
 
