@@ -261,7 +261,7 @@ def render(root: Node) -> str:
             if not tables[-1]:
                 tables[-1].append([])
             span = item.attributes.get("colspan", "1")
-            tables[-1][-1] += [cell] + [""] * (min(int(span), 1000) - 1 if re.fullmatch(r"\d{1,4}", span) else 0)
+            tables[-1][-1] += [cell] + [""] * (min(int(span[:5]), 1000) - 1 if span.isascii() and span.isdigit() and span.strip("0") else 0)
             continue
         elif tag in ("ul", "ol", "menu"):
             lists.pop()

@@ -3,16 +3,18 @@
 Corpus pass one counts distinct pre-tokens (with a partial count in every task); the library
 counts the pieces of each of them once. Pass two makes per-document pre-token frequencies and
 sums frequency x pieces. Ids are never kept. Pre-tokens that make up most of the
-text are few: the ``head_size`` most frequent are broadcast, a bound that does not grow with
+text are few: of those up to HEAD_CHARS long, the ``head_size`` most frequent are broadcast, a bound in bytes that does not grow with
 the corpus, and the rest meet their counts in a shuffle join, so every pre-token is counted.
 
-A pre-token here runs from a space that follows a non-space character to the next such space.
-The library's own split always cuts there, and special strings hold no space, so the counts of
+A pre-token here runs from a space that follows a non-space character to the next such space; where that is
+longer than HEAD_CHARS (text without spaces), it is cut further by the library's own pre-tokenizer.
+The library's own split always cuts in these places, and special strings hold no space (a stretch with one stays whole), so the counts of
 a text's pre-tokens add up to the count of the text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -26,24 +28,60 @@ from .bpe import split_units
 from .common import bounded_batches, field, staged
 
 HEAD_SIZE = 200_000
+#: Longer pre-tokens are not broadcast, and stretches without a space are cut from this length on.
+HEAD_CHARS = 64
 #: A task's partial counts are passed on when so many distinct pre-tokens are held.
 HELD_UNITS = 400_000
+#: ... or after so many characters, which bounds their bytes.
+HELD_CHARS = 64 << 20
+
+
+class PreTokens:
+    """Cuts texts into pre-tokens; made in each task from the tokenizer's file."""
+
+    def __init__(self, path: str) -> None:
+        self._pieces, self._special = None, ()
+        if path.endswith(".json"):
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(path)
+            made = json.loads(library.to_str())
+            if made["normalizer"] is None and (made["pre_tokenizer"] or {}).get("type") == "ByteLevel":
+                self._pieces, self._special = library.pre_tokenizer.pre_tokenize_str, [x.content for x in library.get_added_tokens_decoder().values()]
+
+    def __call__(self, text: str) -> list[str]:
+        units = split_units(text)
+        if self._pieces is None or len(text) <= HEAD_CHARS or max(map(len, units)) <= HEAD_CHARS:
+            return units
+        found: list[str] = []
+        for unit in units:
+            if len(unit) <= HEAD_CHARS or any(x in unit for x in self._special):
+                found.append(unit)
+            else:
+                found += [unit[a:b] for _, (a, b) in self._pieces(unit)]
+        return found
+
+
+def _partial_counts(tokenizer: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, held, size = PreTokens(tokenizer), Counter(), 0
 
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["unit", "n"])
 
-def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[str] = Counter()
-
-    def given() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["unit", "n"])
-
-    for batch in batches:
-        for value in batch.column(0).to_pylist():
-            held.update(split_units(value))
-        if len(held) > HELD_UNITS:
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                held.update(cut(value))
+                size += len(value)
+                if len(held) > HELD_UNITS or size > HELD_CHARS:
+                    yield given()
+                    held.clear()
+                    size = 0
+        if held:
             yield given()
-            held.clear()
-    if held:
-        yield given()
+
+    return count
 
 
 def _tokenizer(path: str):
@@ -100,23 +138,24 @@ def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
     kept = [field(docs, name) for name in keep]
     width = len(keep)
     texts = docs.select(F.coalesce(docs[text], F.lit("")).alias("__text"))
-    units = texts.mapInArrow(_partial_counts, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    units = texts.mapInArrow(_partial_counts(tokenizer), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     vocabulary = staged(count_pieces(units, tokenizer), "vocabulary")
-    head = vocabulary.filter(_rank("n") >= head_rank(vocabulary, head_size)).toArrow()
+    short = vocabulary.filter(F.char_length("unit") <= HEAD_CHARS)
+    head = short.filter(_rank("n") >= head_rank(short, head_size)).toArrow()
     known = spark.sparkContext.broadcast(dict(zip(head["unit"].to_pylist(), head["n_tokens"].to_pylist(), strict=True)))
 
     parts = T.StructType([T.StructField("__row", T.LongType()), T.StructField("doc", T.StructType(kept)), T.StructField("n_bytes", T.LongType()), T.StructField("unit", T.StringType()), T.StructField("freq", T.LongType())])
     doc_type = pa.struct([])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = known.value
+        pieces, cut = known.value, PreTokens(tokenizer)
         for batch in batches:
             doc = pa.StructArray.from_arrays(batch.columns[:width], names=list(keep)) if width else pa.nulls(batch.num_rows, doc_type)
             rows, sums, sizes = batch.column(width).to_pylist(), [], []
             tail_rows, tail_units, tail_freqs = [], [], []
             for row, value in zip(rows, batch.column(width + 1).to_pylist(), strict=True):
                 total = 0
-                for unit, freq in Counter(split_units(value)).items():
+                for unit, freq in Counter(cut(value)).items():
                     n = pieces.get(unit)
                     if n is None:
                         tail_rows.append(row)

@@ -33,6 +33,15 @@ def test_token_counts_are_the_librarys(docs, rows, vocabularies):
     assert sorted(x.doc_id for x in report) == sorted(d for d, _, n in want.elements() if n > 1024)
 
 
+def test_texts_without_spaces_are_cut_at_the_librarys_borders(spark, vocabularies):
+    path = vocabularies.path("byte_bpe_50k.json")
+    texts = ["\u4e2d\u6587\u3002\u5b57\uff0c" * 3000, "a1b2,c3;" * 2000 + "<|endoftext|>" + "x=y;" * 50, "'ll's" * 60, "Z" * 3000, "\t\n\r" * 50 + "a" * 70 + "\n\n" * 40, "\u00a0\u2003" * 60]
+    cut = token_counts.PreTokens(path)
+    assert max(map(len, cut(texts[0]))) <= token_counts.HEAD_CHARS and all("".join(cut(x)) == x for x in texts)
+    got = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {x.doc_id: x.n_tokens for x in got} == {k: len(library(path).encode(x, add_special_tokens=False).ids) for k, x in enumerate(texts)}
+
+
 def test_token_counts_of_nothing(no_docs, vocabularies):
     assert token_counts.token_counts(no_docs, vocabularies.path("byte_bpe_50k.json")).count() == 0
 
