@@ -60,8 +60,8 @@ def missing_slots(completed: DataFrame, variables: tuple[str, ...] = VARIABLES)
 
 
 def missing_by_dimension(slots: DataFrame) -> DataFrame:
-    """Counts by horizon, by point, by variable, by reason, and in all: one grouping-sets aggregate."""
-    dims = [F.col(c) for c in ("horizon_hours", "point", "variable", "reason")]
+    """Counts by run, by target hour, by horizon, by point, by variable, by reason, and in all: one grouping-sets aggregate."""
+    dims = [F.col(c) for c in ("run_utc", "target_utc", "horizon_hours", "point", "variable", "reason")]
     sets = slots.groupingSets([[d] for d in dims] + [[]], *dims)
     return sets.agg(F.count("*").alias("n"))
 

@@ -68,3 +68,8 @@ def baseline_improvement(model: DataFrame, baseline: DataFrame, by: list[str]) -
     other = baseline.select(*by, F.col("mae").alias("baseline_mae"))
     lower = F.col("baseline_mae") - F.col("mae")
     return model.join(other, by).withColumns({"improvement": lower, "improvement_percent": F.try_divide(lower * 100, F.col("baseline_mae"))})
+
+
+def numbered(report: DataFrame, by: list[str]) -> DataFrame:
+    """A report's rows in order, with their line; for reports, which are a few rows however large the data."""
+    return report.withColumn("line", F.row_number().over(Window.orderBy(*by))).orderBy("line")

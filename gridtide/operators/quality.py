@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..spec import FeatureContract
+
 
 class GateError(ValueError):
     """A gate found violations."""
@@ -48,6 +50,45 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def wrong_cardinality(grid: DataFrame, joined: DataFrame, horizons: int) -> DataFrame:
+    """One row unless joined has exactly one matched row for each grid row and horizon."""
+    sides = grid.select(F.lit(horizons).alias("wanted"), F.lit(0).alias("found"), F.lit(0).alias("unmatched")).unionByName(
+        joined.select(F.lit(0).alias("wanted"), F.lit(1).alias("found"), F.col("source_available").isNull().cast("int").alias("unmatched")))
+    return sides.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("wanted", "found", "unmatched")]).filter("wanted <> found OR unmatched > 0")
+
+
+def unequal_counts(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Groups of which the two sides don't hold the same number of rows."""
+    signed = a.select(*by, F.lit(1).alias("n")).unionByName(b.select(*by, F.lit(-1).alias("n")))
+    return signed.groupBy(*by).agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def unequal_slots(completed: DataFrame, slots: DataFrame, variables: tuple[str, ...]) -> DataFrame:
+    """Variables whose detailed missing slots don't add up to the missing flags."""
+    flags = completed.select(F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"{v}_missing").alias("missing")) for v in variables])).alias("v")).filter("v.missing")
+    return unequal_counts(flags.select("v.variable"), slots, ["variable"])
+
+
+def _listed(spark: SparkSession, names: list[str]) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in names], "column string")
+
+
+def contract_difference(spark: SparkSession, a: FeatureContract, b: FeatureContract, wanted: tuple[str, ...]) -> DataFrame:
+    """Columns by which b minus a differs from the wanted ones, and columns of a that b lacks."""
+    wrong = (set(b.columns) - set(a.columns)) ^ set(wanted) | (set(a.columns) - set(b.columns))
+    return _listed(spark, sorted(wrong))
+
+
+def target_among_features(spark: SparkSession, *contracts: FeatureContract) -> DataFrame:
+    return _listed(spark, [c.name for c in contracts if c.target in c.columns])
+
+
+def empty_populations(rows: DataFrame, names: list[str], horizons: tuple[int, ...]) -> DataFrame:
+    """Pairs of split and horizon without a row."""
+    wanted = rows.sparkSession.createDataFrame([(s, h) for s in names for h in horizons], "split string, horizon_hours int")
+    return wanted.join(rows.select("split", "horizon_hours").distinct(), ["split", "horizon_hours"], "left_anti")
+
+
 def gates(checks: dict[str, DataFrame]) -> DataFrame:
     """gate, n_violations for each named frame of violations. Nothing is raised here."""
     rows = [df.agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("gate"), "n_violations") for name, df in checks.items()]

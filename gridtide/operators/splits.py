@@ -44,6 +44,11 @@ def split_overlap(features: DataFrame) -> DataFrame:
     return every.join(overlapping, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0).cast("long")).alias("n_shared"))
 
 
+def shared_hours(features: DataFrame) -> DataFrame:
+    """Hours that fall in more than one split."""
+    return features.filter(F.col("split").isNotNull()).groupBy("target_utc").agg(F.countDistinct("split").alias("n")).filter("n > 1")
+
+
 def split_ranges(features: DataFrame) -> DataFrame:
     """First and last hour and rows of each split, and whether it ends before the next begins."""
     per = features.filter(F.col("split").isNotNull()).groupBy("split").agg(F.min("target_utc").alias("first_utc"), F.max("target_utc").alias("last_utc"), F.count("*").alias("n_rows"))

@@ -209,9 +209,9 @@ def missing_slots(spark, sf):
     return naive(forecasts.missing_slots(base.completed(spark, sf)))
 
 
-@query("missing_by_dim", "SELECT horizon_hours, point, variable, reason, count(*) AS n FROM slots GROUP BY GROUPING SETS ((horizon_hours), (point), (variable), (reason), ())")
+@query("missing_by_dim", "SELECT run_utc, target_utc, horizon_hours, point, variable, reason, count(*) AS n FROM slots GROUP BY GROUPING SETS ((run_utc), (target_utc), (horizon_hours), (point), (variable), (reason), ())")
 def missing_by_dim(spark, sf):
-    return forecasts.missing_by_dimension(forecasts.missing_slots(base.completed(spark, sf)))
+    return naive(forecasts.missing_by_dimension(forecasts.missing_slots(base.completed(spark, sf))))
 
 
 _PANEL = "key, target_utc, horizon_hours, cutoff_utc, available, demand, point, run_utc, forecast_value, forecast_k, source_available, any_missing"
@@ -514,7 +514,7 @@ def ml_vocab(spark, sf):
 
 def _each_horizon(spark, sf, made) -> DataFrame:
     """The union of made(train, validation, contract) over all horizons and both feature sets."""
-    rows = splits.paired_population(base.feature_rows(spark, sf)).filter("split <> 'test'").persist()
+    rows = io.write_and_read(splits.paired_population(base.feature_rows(spark, sf)).filter("split <> 'test'"), io.shared_path(spark, "paired"))
     done = None
     for hours in SPEC.horizons:
         train, validation = (rows.filter((F.col("split") == s) & (F.col("horizon_hours") == hours)) for s in ("train", "validation"))
@@ -556,31 +556,37 @@ def ml_gbt(spark, sf):
     return _predicted(spark, sf, *[c for c in ml.GRID if c.family == "trees"])
 
 
-def _grid_scores(spark, sf) -> DataFrame:
-    rows = splits.paired_population(base.feature_rows(spark, sf)).filter("split <> 'test'").persist()
+def _grid_scores(rows: DataFrame, grid: tuple[ml.Config, ...] = ml.GRID) -> DataFrame:
+    """Validation scores of each config, for all horizons and both feature sets."""
     scores = None
     for hours in SPEC.horizons:
         train, validation = (rows.filter((F.col("split") == s) & (F.col("horizon_hours") == hours)) for s in ("train", "validation"))
         for contract in (CONTRACT_A, CONTRACT_B):
-            one = ml.fit_and_score(train, validation, contract).withColumn("horizon_hours", F.lit(hours))
+            one = ml.fit_and_score(train, validation, contract, grid).withColumn("horizon_hours", F.lit(hours))
             scores = one if scores is None else scores.unionByName(one)
     return scores
 
 
+def _paired(spark, sf) -> DataFrame:
+    """Paired rows as a stage's stored output, so that every fit reads them instead of building them."""
+    return io.write_and_read(splits.paired_population(base.feature_rows(spark, sf)), io.shared_path(spark, "paired"))
+
+
 @query("ml_grid")
 def ml_grid(spark, sf):
-    return rounded(_grid_scores(spark, sf))
+    return rounded(_grid_scores(_paired(spark, sf)))
 
 
 @query("ml_final")
 def ml_final(spark, sf):
-    """A frozen config, refitted on train and validation rows of each horizon, predicts test rows once."""
-    rows = splits.paired_population(base.feature_rows(spark, sf)).persist()
-    frozen, done = {1: 0.1, 3: 0.1, 6: 0.01}, None
+    """The linear config that validation rows select for each horizon and feature set, refitted on train and validation rows, predicts test rows once."""
+    rows, linear, done = _paired(spark, sf), {c.name: c for c in ml.GRID if c.family == "linear"}, None
+    # A row for each horizon and feature set.
+    frozen = {(x.horizon_hours, x.feature_set): linear[x.config] for x in ml.select_configs(_grid_scores(rows, tuple(linear.values()))).collect()}
     for hours in SPEC.horizons:
         of_horizon = rows.filter(F.col("horizon_hours") == hours)
         for contract in (CONTRACT_A, CONTRACT_B):
-            one = ml.evaluate_frozen(of_horizon.filter("split <> 'test'"), of_horizon.filter("split = 'test'"), contract, ml.Config("frozen", "linear", frozen[hours]))
+            one = ml.evaluate_frozen(of_horizon.filter("split <> 'test'"), of_horizon.filter("split = 'test'"), contract, frozen[hours, contract.name])
             done = one if done is None else done.unionByName(one)
     return rounded(done)
 

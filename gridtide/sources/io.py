@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,6 +37,25 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def write_sorted(df: DataFrame, path: str, by: list[str]) -> None:
+    """Overwrite with rows in order: ranges of the keys by file, sorted within."""
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
+def order_audit(stored: DataFrame, key: str, time: str) -> DataFrame:
+    """By key: rows, first and last time, and rows whose time is not after that of the row before in the same file."""
+    place = stored.select(key, time, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    before = F.lag(time).over(Window.partitionBy("file", key).orderBy("row"))
+    checked = place.withColumn("unordered", F.coalesce(F.col(time) <= before, F.lit(False)))
+    return checked.groupBy(key).agg(F.count("*").alias("n_rows"), F.min(time).alias("first_utc"), F.max(time).alias("last_utc"), F.count_if("unordered").cast("int").alias("n_unordered"))
+
+
+def write_runs_json(runs: DataFrame, path: str, time_format: str = "yyyy-MM-dd'T'HH-mm") -> None:
+    """Nested runs as JSON, one folder run=<time> and one array of points for each run."""
+    points = F.to_json(F.collect_list(F.struct(*[c for c in runs.columns if c != "run_utc"]))).alias("value")
+    runs.groupBy(F.date_format("run_utc", time_format).alias("run")).agg(points).write.mode("overwrite").partitionBy("run").text(path)
+
+
 def write_and_read(df: DataFrame, path: str) -> DataFrame:
     """A stage's boundary: what follows uses the stored copy."""
     df.write.mode("overwrite").parquet(path)
@@ -63,6 +82,12 @@ def file_inventory(spark: SparkSession, path: str, checksum: bool = False) -> Da
     return files.select(*columns, *([F.sha2("content", 256).alias("sha256")] if checksum else []))
 
 
+def inventory_totals(inventory: DataFrame) -> DataFrame:
+    """By folder: files, bytes, and files without a checksum."""
+    folder = F.element_at(F.split("path", "/"), -2)
+    return inventory.groupBy(folder.alias("folder")).agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"), F.count_if(F.col("sha256").isNull() | (F.length("sha256") != 64)).alias("n_without_checksum"))
+
+
 def check_inventory(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
     """manifest rows (name, bytes, sha256) with problem: missing, size, checksum or null."""
     found = inventory.select("name", F.col("bytes").alias("found_bytes"), F.col("sha256").alias("found_sha256"))
@@ -85,6 +110,28 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
+def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
+    """df, if it has the required columns."""
+    missing = missing_columns(df, required)
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
+def reference_contract(df: DataFrame, key: str, required: list[str]) -> DataFrame:
+    """Rows, distinct and null keys of a reference table, and whether it is not empty and its keys are unique; required columns are checked first."""
+    figures = require_columns(df, required).agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.count_if(F.col(key).isNull()).alias("n_null"))
+    return figures.withColumn("valid", (F.col("n_rows") > 0) & (F.col("n_rows") == F.col("n_keys")))
+
+
+def export_schema(df: DataFrame, path: str) -> DataFrame:
+    """Write the schema as JSON lines (column, position, type, nullable) and read them back."""
+    rows = [(x.name, n, x.dataType.json(), x.nullable) for n, x in enumerate(df.schema.fields)]
+    kind = "column string, position long, type string, nullable boolean"
+    df.sparkSession.createDataFrame(rows, kind).coalesce(1).write.mode("overwrite").json(path)
+    return df.sparkSession.read.schema(kind).json(path)
+
+
 def schema_json(df: DataFrame) -> dict:
     return df.schema.jsonValue()
 
@@ -93,6 +140,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir), or a temporary one where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-gridtide-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/gridtide-{uuid.uuid4().hex}/{name}"

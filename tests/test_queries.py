@@ -7,12 +7,12 @@ import __spark_entry__ as entry
 from gridtide.plans import queries as panel
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["forecast_parse", "pruned_scan", "inventory_check", "classify", "dst_gap", "dst_fold", "hour_axis", "demand_grid", "coverage_sets", "missing_by_dim", "nearest_point", "features", "baseline_metrics", "split_overlap", "profile_quality", "gates"]
+SOME = ["forecast_parse", "pruned_scan", "inventory_check", "classify", "dst_gap", "dst_fold", "hour_axis", "demand_grid", "coverage_sets", "missing_by_dim", "nearest_point", "features", "baseline_metrics", "split_overlap", "profile_quality", "gates", "stage_gates", "csv_lookup", "json_runs", "output_inventory", "schema_export", "file_contract_by_file", "reference_contract", "sorted_write"]
 
 
 def test_every_query_but_models_has_an_oracle():
     assert {k for k in panel.QUERIES if k not in panel.ORACLES} == {"ml_matrix", "ml_linear", "ml_gbt", "ml_grid", "ml_final"}
-    assert len(panel.QUERIES) == 72 and set(panel.QUERIES) <= set(entry.queries())
+    assert len(panel.QUERIES) == 82 and set(panel.QUERIES) <= set(entry.queries())
 
 
 def plain(v):
