@@ -41,10 +41,16 @@ IMPLIED = {
 }
 CELL_GAP = "  "
 
-_MARKUP = re.compile(r"""<(?:!--(.*?)(?:--!?>|$)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
-_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Layout limits; text beyond them is kept, but no longer indented, aligned or spanned, so that a page's text stays in proportion to its source.
+MAX_INDENT, MAX_CELL, MAX_TABLE, MAX_TABLES, MAX_SPANNED = 40, 80, 1000, 8, 250
+
+_TAG_NAME = re.compile(r"[a-zA-Z][^ \t\n\r\f/>]*")
+_COMMENT_END = re.compile(r"--!?>")
+_GAP = re.compile(r"[ \t\n\r\f/]*")
+_BLANK = re.compile(r"[ \t\n\r\f]*")
+_ATTRIBUTE_NAME = re.compile(r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*")
+_BARE_VALUE = re.compile(r"[^ \t\n\r\f>]+")
+_LONG_NUMBER = re.compile(r"&#(?:0*([0-9]*)|[xX]0*([0-9a-fA-F]*));?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -55,83 +61,216 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
-def _attributes(raw: str) -> dict[str, str]:
-    if not raw.strip(" \t\n\r\f/"):
-        return {}
-    return {k.lower(): html.unescape(v.strip("\"'")) for k, v in reversed(_ATTRIBUTE.findall(raw))}
+def _unescaped(text: str) -> str:
+    """Character references as characters; numbers of any length, of which Python converts only short ones."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _LONG_NUMBER.sub(lambda m: m[0] if len(m[0]) < 100 else "\ufffd" if len(m[1] or m[2] or "") > 7 else f"&#{m[1] or '0'};" if m[1] is not None else f"&#x{m[2] or '0'};", text)
+    return html.unescape(text)
+
+
+def scan_attributes(source: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes from a place behind a tag's name on, and the place behind its ``>``; -1 where the tag never ends. The first of equal names counts."""
+    found: dict[str, str] = {}
+    size = len(source)
+    while True:
+        at = _GAP.match(source, at).end()
+        if at >= size:
+            return found, -1
+        if source[at] == ">":
+            return found, at + 1
+        name = _ATTRIBUTE_NAME.match(source, at)
+        at, value = name.end(), ""
+        equals = _BLANK.match(source, at).end()
+        if source.startswith("=", equals):
+            at = _BLANK.match(source, equals + 1).end()
+            if at >= size:
+                return found, -1
+            if source[at] in "\"'":
+                end = source.find(source[at], at + 1)
+                if end < 0:
+                    return found, -1
+                value, at = source[at + 1 : end], end + 1
+            elif source[at] != ">":
+                bare = _BARE_VALUE.match(source, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(name[0].lower(), _unescaped(value))
+
+
+class Open:
+    """Open elements, and for each tag their places on the stack, so that closing takes no walk over it."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self) -> None:
+        self.places[self.stack.pop().tag].pop()
+
+    def innermost(self, tags: frozenset[str]) -> int:
+        return max((x[-1] for x in map(self.places.get, tags) if x), default=0)
+
+    def close(self, names: frozenset[str], fences: frozenset[str], all_: bool) -> None:
+        """End the innermost element of the names, or all of them, that no fence encloses further in."""
+        while (at := self.innermost(names)) and at > self.innermost(fences):
+            while len(self.stack) > at:
+                self.pop()
+            if not all_:
+                return
 
 
 def build_tree(source: str) -> Node:
-    """The document's elements, with implied end tags; what is never closed ends with its parent."""
+    """The document's elements, with implied end tags; what is never closed ends with its parent.
+
+    Takes time in proportion to the source. From a tag on that never ends (a quote left open), quotes have no meaning and tags end at their first ``>``.
+    """
     root = Node("#root", {})
-    stack, at, size = [root], 0, len(source)
-
-    def close(names: frozenset[str], fences: frozenset[str], all_: bool) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                if not all_:
-                    return
-            elif stack[k].tag in fences:
-                return
+    here, at, size, loose = Open(root), 0, len(source), False
+    last_end = source.rfind(">")
+    stack = here.stack
 
     while at < size:
         start = source.find("<", at)
         if start < 0:
-            stack[-1].children.append(html.unescape(source[at:]))
+            stack[-1].children.append(_unescaped(source[at:]))
             break
         if start > at:
-            stack[-1].children.append(html.unescape(source[at:start]))
-        match = _MARKUP.match(source, start)
-        if match is None:
-            match = _LOOSE_TAG.match(source, start)
-            if match is None:
-                stack[-1].children.append("<")
-                at = start + 1
-                continue
-            slash, name, raw = match.groups()
-        else:
-            slash, name, raw = match.group(2), match.group(3), match.group(4)
-        at = match.end()
-        if not name:
+            stack[-1].children.append(_unescaped(source[at:start]))
+        if source.startswith("<!--", start):
+            if source.startswith((">", "->"), start + 4):
+                at = source.index(">", start) + 1
+            else:
+                end = _COMMENT_END.search(source, start + 4)
+                at = end.end() if end else size
+            continue
+        if start < last_end and (source.startswith(("<!", "<?"), start) or (source.startswith("</", start) and not _TAG_NAME.match(source, start + 2))):
+            at = source.index(">", start) + 1
+            continue
+        slash = source.startswith("</", start)
+        name = _TAG_NAME.match(source, start + 1 + slash)
+        if name is None or name.end() > last_end:
+            stack[-1].children.append("<")
+            at = start + 1
             continue
-        tag = name.lower()
+        tag = name[0].lower()
+        if source[name.end()] == ">":
+            attributes, end = {}, name.end() + 1
+        elif loose:
+            end = source.index(">", name.end()) + 1
+            attributes = scan_attributes(source[name.end() : end - 1].replace('"', " ").replace("'", " ") + ">", 0)[0]
+        else:
+            attributes, end = scan_attributes(source, name.end())
+            if end < 0:
+                loose, at = True, start
+                continue
+        at = end
         if slash:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not here.places.get("p"):
                 stack[-1].children.append(Node("p", {}))
             elif tag == "br":
                 stack[-1].children.append(Node("br", {}))
             else:
-                close(frozenset([tag]), frozenset() if tag in ("table", "body", "html") else frozenset(["table"]) if tag in ("tr", "thead", "tbody", "tfoot") else frozenset(["td", "th"]) - {tag}, False)
+                here.close(frozenset([tag]), frozenset() if tag in ("table", "body", "html") else frozenset(["table"]) if tag in ("tr", "thead", "tbody", "tfoot") else frozenset(["td", "th"]) - {tag}, False)
             continue
         if tag in CLOSES_P:
-            close(frozenset(["p"]), frozenset("td th table button object".split()), False)
+            here.close(frozenset(["p"]), frozenset("td th table button object".split()), False)
         if tag in IMPLIED:
-            close(*IMPLIED[tag], True)
+            here.close(*IMPLIED[tag], True)
         if tag in ("html", "body"):
-            known = next((x for x in stack if x.tag == tag), None)
-            if known:
-                known.attributes = _attributes(raw) | known.attributes
+            if here.places.get(tag):
+                known = stack[here.places[tag][0]]
+                known.attributes = attributes | known.attributes
                 continue
         elif stack[-1].tag == "head" and tag not in UNSEEN and tag not in ("meta", "link", "base"):
-            stack.pop()
-        node = Node(tag, _attributes(raw))
+            here.pop()
+        node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[ \t\n\r\f/>])", re.I).search(source, at)
             body = source[at : end.start() if end else size]
-            node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
-            at = end.end() if end else size
+            node.children.append(_unescaped(body) if tag in ("textarea", "title") else body)
+            at = source.find(">", end.end()) + 1 or size if end else size
         elif tag not in VOID:
-            stack.append(node)
+            here.push(node)
     return root
 
 
-def is_hidden(node: Node) -> bool:
+def _style(raw: str) -> dict[str, str]:
+    """Declarations of a style attribute; the last of equal names counts."""
+    parts = (x.partition(":") for x in raw.lower().split(";"))
+    return {name.strip(): value.replace("!important", "").strip() for name, _, value in parts}
+
+
+def seen(node: Node, inherited: bool) -> bool | None:
+    """None where an element and all in it have no box; else whether its own text shows, which what is inside may change."""
     a = node.attributes
-    if node.tag in UNSEEN:
-        return True
-    return bool(a) and ("hidden" in a or bool(_INVISIBLE.search(a.get("style", ""))) or (node.tag == "dialog" and "open" not in a))
+    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
+        return None
+    if "style" in a:
+        style = _style(a["style"])
+        if style.get("display") == "none":
+            return None
+        visibility = style.get("visibility", "inherit")
+        return False if visibility in ("hidden", "collapse") else True if visibility == "visible" else inherited
+    return inherited
+
+
+def _span(node: Node, name: str, limit: int) -> int:
+    raw = node.attributes.get(name, "1").strip()
+    return max(1, min(int(raw.lstrip("0")[:6] or "1"), limit)) if raw.isascii() and raw.isdigit() else 1
+
+
+class Table:
+    """Cells by row and column. A cell of several columns or rows has its text in the first, and the others stay empty."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict[int, str]] = []
+        self.spans: list[tuple[int, int, int]] = []  # first column, end, last row; of rows above
+        self.own: list[tuple[int, int, int]] = []
+        self.column = 0
+
+    def new_row(self) -> None:
+        self.rows.append({})
+        last = len(self.rows) - 1
+        self.spans = sorted(x for x in self.spans + self.own if x[2] >= last)
+        self.own, self.column = [], 0
+
+    def end_group(self) -> None:
+        self.spans, self.own = [], []
+
+    def add(self, cell: str, node: Node) -> None:
+        if not self.rows:
+            self.new_row()
+        for first, end, _ in self.spans:
+            if first <= self.column < end:
+                self.column = end
+        self.rows[-1][self.column] = cell
+        end, rows = self.column + _span(node, "colspan", 1000), _span(node, "rowspan", 65534)
+        if rows > 1 and end <= MAX_SPANNED:
+            self.own.append((self.column, end, len(self.rows) + rows - 2))
+        self.column = end
+
+    def lines(self) -> list[str]:
+        """Rows as lines; a cell of several lines makes its row as high. Columns without text take no room; cells wider than MAX_CELL don't widen
+        theirs, and a table that is wider than MAX_TABLE isn't aligned."""
+        widths: dict[int, int] = {}
+        rows = [[(column, cell.split("\n")) for column, cell in row.items() if cell] for row in self.rows]
+        for row in rows:
+            for column, cell in row:
+                widths[column] = max(widths.get(column, 0), *(len(x) for x in cell if len(x) <= MAX_CELL), 0)
+        columns = sorted(widths)
+        place = {column: n for n, column in enumerate(columns)}
+        wide = sum(widths.values()) + len(CELL_GAP) * len(widths) > MAX_TABLE
+        out = []
+        for row in rows:
+            for n in range(max((len(cell) for _, cell in row), default=0)):
+                line = {place[column]: cell[n] for column, cell in row if n < len(cell) and cell[n]}
+                out.append(CELL_GAP.join(line.values() if wide else (line.get(k, "").ljust(widths[columns[k]]) for k in range(max(line, default=-1) + 1))).rstrip(" "))
+        return out
 
 
 class Page:
@@ -172,7 +311,7 @@ class Page:
                 self.lines.append("")
             self.blank = False
             self.line.append(self.indent + self.marker)
-            self.indent += " " * len(self.marker)
+            self.indent = (self.indent + " " * len(self.marker))[:MAX_INDENT]
             self.marker = ""
         self.line.append(text)
 
@@ -195,74 +334,72 @@ class Page:
         return "\n".join(self.lines)
 
 
-def _aligned(rows: list[list[str]]) -> list[str]:
-    """Rows of cells as lines; a cell of several lines makes its row as high."""
-    cells = [[cell.split("\n") for cell in row] for row in rows]
-    columns = max(map(len, cells), default=0)
-    widths = [max((len(line) for row in cells if k < len(row) for line in row[k]), default=0) for k in range(columns)]
-    lines = []
-    for row in cells:
-        for n in range(max(map(len, row), default=0)):
-            lines.append(CELL_GAP.join((cell[n] if n < len(cell) else "").ljust(widths[k]) for k, cell in enumerate(row)).rstrip(" "))
-    return lines
-
-
 def render(root: Node) -> str:
     """Visible text of a tree. Uses a stack of its own, so depth is not limited."""
-    page, pages, tables, lists, kept = Page(), [], [], [], 0
+    page, pages, tables, lists, kept, shown, deep = Page(), [], [], [], 0, True, 0
     todo: list[tuple[str, object, object]] = [("enter", root, None)]
     while todo:
         step, item, extra = todo.pop()
         if isinstance(item, str):
-            page.write(item, kept > 0)
+            if shown:
+                page.write(item, kept > 0)
             continue
         tag = item.tag
         if step == "enter":
-            if is_hidden(item):
+            own = seen(item, shown)
+            if own is None:
                 continue
             if tag == "br":
-                page.end_line(True)
+                if own:
+                    page.end_line(True)
                 continue
-            before = (page.indent, page.marker)
-            in_table = bool(tables) and tag in ("tr", "td", "th", "thead", "tbody", "tfoot")
+            before = (page.indent, page.marker, shown)
+            shown = own
+            in_table = bool(tables) and not deep and tag in ("tr", "td", "th", "thead", "tbody", "tfoot")
             if not in_table and tag in BLOCK:
                 page.apart() if tag in APART and not (tag in ("ul", "ol") and lists) else page.end_line()
             if tag == "table":
-                tables.append([])
+                if len(tables) < MAX_TABLES and not deep:
+                    tables.append(Table())
+                else:
+                    deep += 1
             elif in_table and tag == "tr":
-                tables[-1].append([])
+                tables[-1].new_row()
             elif in_table and tag in ("td", "th"):
                 pages.append(page)
                 page = Page()
+            elif in_table:
+                tables[-1].end_group()
             elif tag in ("ul", "ol", "menu"):
                 number = item.attributes.get("start", "1")
-                lists.append([tag, int(number) if re.fullmatch(r"-?\d{1,9}", number) else 1])
+                lists.append([tag, int(number) if re.fullmatch(r"-?[0-9]{1,9}", number) else 1])
             elif tag == "li":
                 kind = lists[-1] if lists else ["ul", 1]
-                page.marker = f"{kind[1]}. " if kind[0] == "ol" else "- "
+                page.marker = (f"{kind[1]}. " if kind[0] == "ol" else "- ") if shown else ""
                 kind[1] += 1
             elif tag in ("dd", "blockquote"):
-                page.indent += "  "
+                page.indent = (page.indent + "  ")[:MAX_INDENT]
             elif tag in ("pre", "textarea", "xmp"):
                 kept += 1
             todo.append(("leave", item, (before, in_table)))
             todo.extend(("enter", child, None) for child in reversed(item.children))
             continue
         before, in_table = extra
-        if tag == "table":
-            lines = _aligned([row for row in tables.pop() if any(row)])
+        shown = before[2]
+        if tag == "table" and deep:
+            deep -= 1
+        elif tag == "table":
             page.end_line()
-            for line in lines:
+            for line in tables.pop().lines():
                 page._put(line)
                 page.end_line()
         elif in_table and tag in ("td", "th"):
             cell = page.text()
             page = pages.pop()
-            if not tables[-1]:
-                tables[-1].append([])
-            span = item.attributes.get("colspan", "1")
-            tables[-1][-1] += [cell] + [""] * (min(int(span[:5]), 1000) - 1 if span.isascii() and span.isdigit() and span.strip("0") else 0)
+            tables[-1].add(cell, item)
             continue
+        elif in_table and tag != "tr":
+            tables[-1].end_group()
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
         elif tag in ("pre", "textarea", "xmp"):
@@ -278,9 +415,12 @@ def render(root: Node) -> str:
 def html_text(pages: DataFrame, *, source: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` and text: the visible text of each page.
 
-    A null or empty page gives an empty text. Markup that is broken gives the text that is left.
+    A null or empty page gives an empty text. Markup that is broken gives the text that is left. Time and memory stay in proportion to a page, of any
+    length and nesting; beyond the layout limits text is kept, but no longer indented or aligned.
     Repeated rows each give a row; other columns are ignored; an empty table gives no rows.
     """
+    if "text" in keep:
+        raise ValueError("text is the name of the result's own column; rename that of the pages")
     bounded_batches(pages.sparkSession)
     kept, width = [field(pages, name) for name in keep], len(keep)
 

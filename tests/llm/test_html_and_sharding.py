@@ -1,3 +1,6 @@
+import html
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -28,6 +31,109 @@ def test_depth_and_broken_markup():
     assert "z" in text("<table><td>a<table><td>b</table>z")
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td>a<td rowspan=3>b<tr><td>c<tr><td>d<td>e</table>", "a  b\nc\nd     e"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"), ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab     c\nd   e  f"),
+    ("<div style='visibility:hidden'>x<b style='visibility: visible'>y</b><br>w</div>z", "y\nz"), ("<p style='display:none'><b style='visibility:visible'>x</b></p>y", "y"),
+    ("<p style='x-display:none'>a</p>", "a"), ("<!-->a<!--->b<!-- > -- --!>c", "abc"), ("a</ x>b</>c<?x?>d", "abcd"), ("<a b='c'd=e>f</a>", "f"), ("<a b=\"c>d</a>e <i>f</i>", "de f"),
+    ("<script>a</script b>c", "c"), ("&#65;&#x42;&#" + "0" * 9000 + "67;&#" + "9" * 9000 + ";", "ABC\ufffd"), ("<td colspan=" + "9" * 9000 + ">x", "x"),
+])
+def test_rendering_of_spans_and_odd_markup(source, want):
+    assert text(source) == want
+
+
+@pytest.mark.parametrize("source", [
+    '<a b="c ' * 60_000, "<a " * 150_000, "<div>" * 100_000, '<a b=">" ' * 50_000, "<script>" + "</script " * 50_000, "<dl><dd>x" * 50_000, "<blockquote>x" * 40_000, "<table><td>x" * 40_000,
+    "<table><tr>" + "<td colspan=1000>x" * 30_000, "<table>" + "<tr><td colspan=99><td>x" * 20_000, "<table><tr><td>" + "y" * 250_000 + "<td>z" + "<tr><td>a<td>b" * 16_000,
+    "<table><tr>" + "".join(f"<td rowspan={65534 - i}>x" for i in range(12_000)) + "<tr><td>x" * 25_000, "<p><button>" + "<div>" * 100_000, "<" * 500_000, "<ul><li>x" * 50_000, "<b>" * 50_000 + "</i>" * 80_000,
+])
+def test_hostile_pages_take_time_and_room_in_proportion(source):
+    start = time.process_time()
+    assert len(text(source)) <= 16 * len(source)
+    assert time.process_time() - start < 10
+
+
+class Plain:
+    """Random pages and, from the same choices, what they should show: lines of blocks, joined by their gaps."""
+
+    def __init__(self, seed):
+        self.rng, self.n = random.Random(seed), 0
+
+    def words(self):
+        self.n += 1
+        return f"w{self.n}" + self.rng.choice(["", " x", " <&>"])
+
+    def inline(self):
+        shown, source = [], []
+        for _ in range(self.rng.randint(1, 3)):
+            w = self.words()
+            kind = self.rng.randrange(5)
+            if kind == 0:
+                source.append(f"<span hidden>{html.escape(w)}</span>")
+                continue
+            source.append(html.escape(w) if kind < 3 else f"<b class='a>b'>{html.escape(w)}</b>")
+            shown.append(w)
+        return " ".join(shown), self.rng.choice([" ", "\n\t "]).join(source)
+
+    def blocks(self, depth):
+        """Blocks as (set apart, lines), and their source."""
+        found, source = [], []
+        for _ in range(self.rng.randint(1, 3)):
+            kind = self.rng.choice(["p", "div", "pre", "table", "gone"] + ["ul", "ol", "quote", "section"] * (depth > 0))
+            if kind in ("p", "div"):
+                shown, body = self.inline()
+                found.append((kind == "p", [shown] if shown else []))
+                source.append(f"<{kind}>{body}" + ("" if kind == "p" else f"</{kind}>"))
+            elif kind == "pre":
+                lines = ["q  r", "  s"]
+                found.append((True, lines))
+                source.append("<pre>" + "\n".join(lines) + "</pre>")
+            elif kind == "gone":
+                source.append(self.rng.choice(["<!-- <p>x -->", "<script>'<p>'</script>", "<div style='display:none'><p>x</div>"]))
+            elif kind == "table":
+                rows = [[self.words() for _ in range(3)] for _ in range(self.rng.randint(1, 3))]
+                widths = [max(len(r[k]) for r in rows) for k in range(3)]
+                found.append((True, ["  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip() for r in rows]))
+                source.append("<table>" + "".join("<tr>" + "".join(f"<td>{html.escape(x)}" for x in r) for r in rows) + "</table>")
+            elif kind == "section":
+                inner, body = self.blocks(depth - 1)
+                found += inner
+                source.append(f"<section>{body}</section>")
+            elif kind == "quote":
+                inner, body = self.blocks(depth - 1)
+                found.append((True, ["  " + x if x else x for x in flat(inner)]))
+                source.append(f"<blockquote>{body}</blockquote>")
+            else:
+                items = [self.inline() for _ in range(self.rng.randint(1, 3))]
+                marks = ["- " if kind == "ul" else f"{n}. " for n in range(1, len(items) + 1)]
+                found.append((True, [m + x for m, (x, _) in zip(marks, items, strict=True) if x]))
+                source.append(f"<{kind}>" + "".join(f"<li>{x}" for _, x in items) + f"</{kind}>")
+        return found, "".join(source)
+
+
+def flat(blocks):
+    lines, gap = [], False
+    for apart, body in blocks:
+        gap |= apart
+        if body:
+            lines += [""] * (gap and bool(lines)) + body
+            gap = apart
+    return lines
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_random_pages_equal_a_plain_renderer(seed):
+    blocks, source = Plain(seed).blocks(3)
+    assert text(source) == "\n".join(flat(blocks))
+
+
+def test_names_that_clash(spark):
+    pages = spark.createDataFrame([(1, "own", "<p>a")], "page_id long, text string, html string")
+    with pytest.raises(ValueError):
+        html_text.html_text(pages, keep=("page_id", "text"))
+    assert html_text.html_text(pages, keep=("page_id",)).collect() == [(1, "a")]
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a", "q"), (1, "u", "<p>a", "q"), (2, None, None, None), (None, "v", "", "")], "page_id long, url string, html string, text string")
     got = html_text.html_text_report(pages).collect()
