@@ -81,4 +81,70 @@ SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat
 """
 
 
-ORACLES = {"op1_decontamination": CONTAMINATION, "op3_repeated_substrings": REPEATED_BYTES, "op6_quality_rules": _quality(), "op7_near_duplicates": NEAR_DUPLICATES, "op8_sharding": SHARDED_SQL}
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of a text, byte by byte; ``crc`` is a one-row relation with the table of its bytes."""
+    return f"(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, strlen({text}) + 1), lambda k: ('0x' || substr(hex(encode({text})), 2 * k - 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT))"
+
+
+_CRC_TABLE = "SELECT list_transform(range(0, 256), lambda b: list_reduce(list_concat([b::BIGINT], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t"
+
+
+def _merkle(depth: int = 16) -> str:
+    """Trees of up to 3 ** depth rows, level by level."""
+
+    def value(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+
+    def leaf(text: str) -> str:
+        return "sha256(concat(" + ", ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+    def level(nodes: str, above: str) -> str:
+        grouped = f"{above}g AS MATERIALIZED (SELECT tree, pos // 3 AS pos, list(h ORDER BY pos) AS hs, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {nodes}) GROUP BY ALL)"
+        return f"{grouped},\n{above} AS MATERIALIZED (SELECT tree, pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {above}g)"
+
+    def folds(of: str, tree: str, pos: str) -> list[str]:
+        """Each row's proof and folded hash, one level more at a time."""
+        out = []
+        for k in range(depth):
+            slot, up = f"(r.{pos} // {3**k} % 3)", f"g.pos = r.{pos} // {3 ** (k + 1)}"
+            left, right = f"array_to_string(g.hs[1:{slot}], '')", f"array_to_string(g.hs[{slot} + 2:], '')"
+            both = f"CASE WHEN g.n = 1 THEN proof ELSE proof || {left} || {right} END AS proof, CASE WHEN g.n = 1 THEN fold ELSE sha256({left} || fold || {right}) END AS fold"
+            out.append(f"{of}p{k + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (proof, fold), {both} FROM {of}p{k} r JOIN {of}{k + 1}g g ON g.tree IS NOT DISTINCT FROM r.{tree} AND {up})")
+        return out
+
+    changed = f"CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed"
+    steps = [
+        f"crc AS ({_CRC_TABLE})",
+        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf('changed')} AS changed FROM (SELECT documents.*, {changed} FROM documents, crc))",
+        "r0 AS MATERIALIZED (SELECT doc_id, source AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf, changed FROM d)",
+        "a0 AS MATERIALIZED (SELECT tree, pos, leaf AS h FROM r0)",
+        *[level(f"a{k}", f"a{k + 1}") for k in range(depth)],
+        f"b0 AS MATERIALIZED (SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, h, tree AS source FROM a{depth})",
+        *[level(f"b{k}", f"b{k + 1}") for k in range(depth)],
+        "ap0 AS MATERIALIZED (SELECT r0.*, '' AS proof, changed AS fold FROM r0)",
+        *folds("a", "tree", "pos"),
+        f"bp0 AS MATERIALIZED (SELECT r.*, 0 AS top, t.pos AS place, t.h AS subroot FROM ap{depth} r JOIN b0 t ON t.source IS NOT DISTINCT FROM r.tree)",
+        *folds("b", "top", "place"),
+    ]
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = b.h AS verified FROM bp{depth} r, b{depth} b"
+
+
+JACCARD_JOIN = NEAR_DUPLICATES.replace("w[i:i + 4]", "w[i:i + 3]").replace("len(w) - 4", "len(w) - 3").replace(", d.doc_id = r.component_id AS kept", "")
+
+SPELLING = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW.format("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32("(doc_id || ':' || run)")} END AS h FROM runs, crc),
+spoilt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+dels AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT d.word AS a, d.n AS n_a, w.word AS b, w.n AS n_b FROM dels d JOIN words w ON w.word = d.rest),
+near AS MATERIALIZED (SELECT a, b, n_b FROM shorter UNION ALL SELECT b, a, n_a FROM shorter UNION ALL SELECT x.word, y.word, y.n FROM dels x JOIN dels y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+best AS (SELECT a AS word, count(*) AS n_near, min({{'less': -n_b, 'other': b}}) AS best FROM near GROUP BY 1),
+found AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.best.less >= 2 * w.n THEN b.best.other END AS form, CASE WHEN -b.best.less >= 2 * w.n THEN -b.best.less END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+ways(word, reached, form) AS (SELECT word, word, form FROM found UNION ALL SELECT y.word, f.word, f.form FROM ways y JOIN found f ON f.word = y.form)
+SELECT f.word, f.form, y.reached AS root, f.n, f.n_near, f.form_n FROM found f JOIN ways y ON y.word = f.word AND y.form IS NULL
+"""
+
+
+ORACLES = {"op1_decontamination": CONTAMINATION, "op3_repeated_substrings": REPEATED_BYTES, "op6_quality_rules": _quality(), "op7_near_duplicates": NEAR_DUPLICATES, "op8_sharding": SHARDED_SQL, "op11_merkle_manifest": _merkle(), "op12_jaccard_join": JACCARD_JOIN, "op13_spelling_variants": SPELLING}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, html_text, near_duplicates, passages, quality, sharding, substring_parse, token_counts, token_files
+from . import bpe, decontamination, html_text, jaccard_join, merkle, near_duplicates, passages, quality, sharding, spelling, substring_parse, token_counts, token_files
 from .common import new_path, read_table
 from .oracles import ORACLES
 
@@ -69,6 +69,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_report(token_files.read_token_ids(spark, path))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -80,6 +92,9 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_near_passages": op9_near_passages,
     "op10_token_files": op10_token_files,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_jaccard_join": op12_jaccard_join,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
