@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_totals
+
 
 def hourly_counts(accepted: DataFrame, key: str = "key", hour: str = "hour_utc") -> DataFrame:
     """key, target_utc, n."""
@@ -33,14 +35,8 @@ def active_hours(grid: DataFrame) -> DataFrame:
 
 
 def ranked_shares(totals: DataFrame, key: str = "key", n: str = "n") -> DataFrame:
-    """Keys by descending volume, ties by key, with rank, cumulative volume and total.
-
-    The window runs over one row for each key, after aggregation.
-    """
-    order = Window.orderBy(F.desc(n), F.asc(key))
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return totals.select("*", F.row_number().over(order).alias("rank"), F.sum(n).over(running).alias("cumulative"), F.sum(n).over(everything).alias("total"))
+    """Keys by descending volume, ties by key, with rank, cumulative volume and total; no task holds all keys."""
+    return running_totals(totals, [F.desc(n), F.asc(key)], n)
 
 
 def covering_keys(totals: DataFrame, percent: int, key: str = "key", n: str = "n") -> DataFrame:

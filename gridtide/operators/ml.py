@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial, reduce
+from typing import TypeVar
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..spec import FeatureContract
 from .metrics import prediction_metrics, select_best
 
+T = TypeVar("T")
 SEED = 314159
+#: Fits that run at the same time.
+FITS_AT_ONCE = 4
 KEYS = ("key", "target_utc", "horizon_hours")
 
 
@@ -74,16 +81,70 @@ def vocabulary_table(train: DataFrame, contract: FeatureContract) -> DataFrame:
     return counts.withColumn("position", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))) - 1)
 
 
-def fit_and_score(train: DataFrame, validation: DataFrame, contract: FeatureContract, grid: tuple[Config, ...] = GRID) -> DataFrame:
-    """One row of validation metrics for each config of one horizon. Preprocessing and models see training rows only; each matrix is kept for all fits."""
-    prepared = fit_preprocessing(train, contract)
-    fit_on, score_on = (matrix(prepared, x, contract).persist(StorageLevel.MEMORY_AND_DISK) for x in (train, validation))
-    rows = None
-    for config in grid:
-        predicted = config.estimator().fit(fit_on).transform(score_on).select(F.col("label").alias("actual"), "raw_prediction")
-        one = prediction_metrics(predicted.withColumns({"family": F.lit(config.family), "config": F.lit(config.name), "feature_set": F.lit(contract.name)}), ["family", "config", "feature_set"])
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], T]], width: int = FITS_AT_ONCE) -> list[T]:
+    """The jobs' results, ``width`` at a time, so that the small jobs of one fit fill the cores that those of another leave idle. The first failure is raised.
+
+    Each job's Spark jobs go to a pool of their own, which shares the cores fairly where the scheduler's mode is FAIR.
+    """
+
+    def run(k: int) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{k % width}")
+        return jobs[k]()
+
+    with ThreadPoolExecutor(width) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(run), k) for k in range(len(jobs))]]
+
+
+@dataclass(frozen=True)
+class Fit:
+    """A fitted config of one horizon (None: of all rows) and contract."""
+
+    hours: int | None
+    contract: FeatureContract
+    config: Config
+    prepared: PipelineModel
+    model: Model
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """Keys, actual, raw_prediction, prediction (0 at least), feature_set, family and config of the horizon's rows."""
+        own = rows if self.hours is None else rows.filter(F.col("horizon_hours") == self.hours)
+        predicted = self.model.transform(matrix(self.prepared, own, self.contract))
+        keys = [c for c in KEYS if c in predicted.columns]
+        names = [F.lit(x).alias(c) for c, x in (("feature_set", self.contract.name), ("family", self.config.family), ("config", self.config.name))]
+        return predicted.select(*keys, F.col("label").alias("actual"), "raw_prediction", F.greatest("raw_prediction", F.lit(0.0)).alias("prediction"), *names)
+
+
+def fit_each(train: DataFrame, horizons: Sequence[int | None], contracts: Sequence[FeatureContract], configs: Sequence[Config]) -> list[Fit]:
+    """Every config for every horizon and contract, side by side. Each matrix is made once, kept for all its configs, and released when all are fitted."""
+    spark, cases = train.sparkSession, [(h, c) for h in horizons for c in contracts]
+
+    def prepared(hours: int | None, contract: FeatureContract) -> tuple[PipelineModel, DataFrame]:
+        own = train if hours is None else train.filter(F.col("horizon_hours") == hours)
+        fitted = fit_preprocessing(own, contract)
+        return fitted, matrix(fitted, own, contract).persist(StorageLevel.MEMORY_AND_DISK)
+
+    matrices = side_by_side(spark, [partial(prepared, *case) for case in cases])
+    try:
+        fits = [(case, fitted, rows, config) for case, (fitted, rows) in zip(cases, matrices, strict=True) for config in configs]
+        models = side_by_side(spark, [partial(config.estimator().fit, rows) for _, _, rows, config in fits])
+        return [Fit(*case, config, fitted, model) for (case, fitted, _, config), model in zip(fits, models, strict=True)]
+    finally:
+        for _, rows in matrices:
+            rows.unpersist()
+
+
+def predict_each(fits: Sequence[Fit], rows: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [f.predict(rows) for f in fits])
+
+
+def scores(predicted: DataFrame) -> DataFrame:
+    """Errors of predictions by family, config, feature_set and, if there is one, horizon."""
+    return prediction_metrics(predicted, [c for c in ("family", "config", "feature_set", "horizon_hours") if c in predicted.columns])
+
+
+def fit_and_score(train: DataFrame, validation: DataFrame, contract: FeatureContract, grid: Sequence[Config] = GRID) -> DataFrame:
+    """One row of validation metrics for each config. Preprocessing and models see training rows only."""
+    return scores(predict_each(fit_each(train, [None], [contract], grid), validation))
 
 
 def select_configs(scores: DataFrame) -> DataFrame:
@@ -93,8 +154,4 @@ def select_configs(scores: DataFrame) -> DataFrame:
 
 def evaluate_frozen(fit_on: DataFrame, test: DataFrame, contract: FeatureContract, config: Config) -> DataFrame:
     """Refit a frozen config and predict test rows once: keys, actual, prediction, feature_set."""
-    prepared = fit_preprocessing(fit_on, contract)
-    model = config.estimator().fit(matrix(prepared, fit_on, contract))
-    predicted = model.transform(matrix(prepared, test, contract))
-    keys = [c for c in KEYS if c in predicted.columns]
-    return predicted.select(*keys, F.col("label").alias("actual"), "raw_prediction", F.greatest("raw_prediction", F.lit(0.0)).alias("prediction"), F.lit(contract.name).alias("feature_set"))
+    return predict_each(fit_each(fit_on, [None], [contract], [config]), test).drop("family", "config")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_totals
 from .quality import null_counts
 
 
@@ -20,10 +21,9 @@ def profile_time(df: DataFrame, columns: list[str], start: Column, end: Column)
 
 
 def profile_keys(df: DataFrame, key: str, lookup: DataFrame) -> DataFrame:
-    """Each value with count, percent of all rows, rank by (-count, value), and whether the lookup knows it."""
+    """Each value with count, percent of all rows, rank by (-count, value), and whether the lookup knows it; no task holds all values."""
     counts = df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
-    everything = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = counts.select("key", "n", (F.col("n") * 100.0 / F.sum("n").over(everything)).alias("percent"), F.row_number().over(Window.orderBy(F.desc("n"), F.asc_nulls_first("key"))).alias("rank"))
+    ranked = running_totals(counts, [F.desc("n"), F.asc_nulls_first("key")], "n").select("key", "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"), "rank")
     known = lookup.select(F.col("key").alias("__key")).distinct()
     return ranked.join(known, F.col("key") == F.col("__key"), "left").select("key", "n", "percent", "rank", F.col("__key").isNotNull().alias("known"))
 

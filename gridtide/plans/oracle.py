@@ -125,3 +125,51 @@ def sql(body: str) -> str:
 NEAREST = _nearest
 BACK = _back
 SPLIT = _SPLIT
+
+
+#: Categorical and numeric columns of the models, and those that only contract B has.
+_CATEGORICAL = ("key", "local_hour", "local_weekday", "local_month", "local_weekend")
+_NUMERIC = ("demand_at_cutoff", "demand_1h_before", "demand_2h_before", "mean_3h", "mean_6h", "mean_24h", "std_24h", "demand_day_before", "demand_week_before", "forecast_value", "forecast_k")
+_ONLY_B = ("forecast_value", "forecast_k")
+_PENALTIES = {"linear_0.01": 0.01, "linear_0.1": 0.1, "linear_1": 1.0}
+
+
+def ridge(name: str, fit_on: str, score_on: str, configs: tuple[str, ...]) -> str:
+    """CTEs that end with ``name``: every row of score_on under the ridge regressions of fit_on rows, by Gauss-Jordan elimination.
+
+    Both are conditions on paired features.
+    """
+
+    def entries(condition: str) -> str:
+        cells = ["{'f': '1', 'v': 1.0::DOUBLE}", "{'f': 'y', 'v': demand::DOUBLE}", *[f"{{'f': 'n:{c}', 'v': {c}::DOUBLE}}" for c in _NUMERIC], *[f"{{'f': 'c:{c}=' || {c}::VARCHAR, 'v': 1.0::DOUBLE}}" for c in _CATEGORICAL]]
+        return f"SELECT key, target_utc, h, actual, r, e.f AS f, e.v AS v FROM (SELECT key, target_utc, horizon_hours AS h, demand::DOUBLE AS actual, row_number() OVER () AS r, unnest([{', '.join(cells)}]) AS e FROM features WHERE paired AND {condition})"
+
+    p = name
+    models = ", ".join(f"('{c}', {_PENALTIES[c]}::DOUBLE)" for c in configs)
+    only_b = ", ".join(f"'n:{c}'" for c in _ONLY_B)
+    return f"""{p}_fit AS MATERIALIZED ({entries(fit_on)}),
+{p}_gram AS MATERIALIZED (SELECT a.h, a.f AS i, b.f AS j, sum(a.v * b.v) AS v FROM {p}_fit a JOIN {p}_fit b ON a.r = b.r GROUP BY ALL),
+{p}_n AS (SELECT h, v AS n FROM {p}_gram WHERE i = '1' AND j = '1'),
+{p}_mean AS (SELECT h, j AS f, v / n AS m FROM {p}_gram JOIN {p}_n USING (h) WHERE i = '1'),
+{p}_moment AS MATERIALIZED (SELECT h, i AS f, m, CASE WHEN v / n - m * m > 1e-12 * v / n THEN sqrt(v / n - m * m) ELSE 0 END AS s FROM {p}_gram JOIN {p}_n USING (h) JOIN {p}_mean USING (h) WHERE i = j AND f = i),
+{p}_use AS MATERIALIZED (SELECT h, s.feature_set, f, m, s, row_number() OVER (PARTITION BY h, feature_set ORDER BY f) AS k FROM {p}_moment x CROSS JOIN (SELECT unnest(['A', 'B']) AS feature_set) s WHERE f NOT IN ('1', 'y') AND x.s > 0 AND (feature_set = 'B' OR f NOT IN ({only_b}))),
+{p}_y AS (SELECT h, m, s FROM {p}_moment WHERE f = 'y'),
+{p}_cell AS (SELECT a.h, a.feature_set, a.k AS i, b.k AS j, (coalesce(g.v, 0) / n.n - a.m * b.m) / (a.s * b.s) AS v FROM {p}_use a JOIN {p}_use b ON a.h = b.h AND a.feature_set = b.feature_set JOIN {p}_n n ON n.h = a.h LEFT JOIN {p}_gram g ON g.h = a.h AND g.i = a.f AND g.j = b.f
+  UNION ALL SELECT a.h, a.feature_set, a.k, 1000000, (coalesce(g.v, 0) / n.n - a.m * y.m) / (a.s * y.s) FROM {p}_use a JOIN {p}_y y ON y.h = a.h JOIN {p}_n n ON n.h = a.h LEFT JOIN {p}_gram g ON g.h = a.h AND g.i = a.f AND g.j = 'y'),
+{p}_row AS (SELECT c.h, c.feature_set, q.config, i, list(c.v + CASE WHEN i = j THEN q.reg / y.s ELSE 0 END ORDER BY j) AS row FROM {p}_cell c JOIN {p}_y y ON y.h = c.h CROSS JOIN (VALUES {models}) q(config, reg) GROUP BY c.h, c.feature_set, q.config, i),
+{p}_step(h, feature_set, config, k, n, m) AS (SELECT h, feature_set, config, 0::BIGINT, count(*), list(row ORDER BY i) FROM {p}_row GROUP BY ALL
+  UNION ALL SELECT h, feature_set, config, k + 1, n, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda x: x / m[k + 1][k + 1]) ELSE list_transform(row, lambda x, j: x - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {p}_step WHERE k < n),
+{p}_weight AS MATERIALIZED (SELECT x.h, x.feature_set, x.config, u.f, x.m[u.k][x.n + 1] * y.s / u.s AS w, u.m FROM {p}_step x JOIN {p}_use u ON u.h = x.h AND u.feature_set = x.feature_set JOIN {p}_y y ON y.h = x.h WHERE x.k = x.n),
+{p}_base AS (SELECT w.h, feature_set, config, any_value(y.m) - sum(w.w * w.m) AS intercept FROM {p}_weight w JOIN {p}_y y ON y.h = w.h GROUP BY ALL),
+{p}_score AS MATERIALIZED ({entries(score_on)}),
+{p}_raw AS (SELECT e.key, e.target_utc, e.h AS horizon_hours, e.actual, b.feature_set, b.config, any_value(b.intercept) + coalesce(sum(w.w * e.v), 0) AS raw_prediction FROM {p}_score e JOIN {p}_base b ON b.h = e.h LEFT JOIN {p}_weight w ON w.h = e.h AND w.feature_set = b.feature_set AND w.config = b.config AND w.f = e.f GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT *, greatest(raw_prediction, 0.0) AS prediction FROM {p}_raw)"""
+
+
+def ridge_scores(name: str, predicted: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT 'linear' AS family, config, feature_set, horizon_hours, count(*) FILTER (raw_prediction < 0) AS n_negative, count(*) FILTER (raw_prediction IS NULL OR isnan(raw_prediction)) AS n_invalid,
+  count(*) AS n_rows, avg(abs(actual - prediction)) AS mae, sqrt(avg((actual - prediction) * (actual - prediction))) AS rmse FROM {predicted} GROUP BY ALL)"""
+
+
+def with_models(ctes: list[str], body: str) -> str:
+    return f"WITH RECURSIVE {CTES},\n" + ",\n".join(ctes) + f"\n{body}"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import is_fold, is_gap, to_local, to_utc, wall_clock
-from ..operators import classify, features, forecasts, geo, grid, metrics, ml, profiling, quality, splits, timeaxis
+from ..operators import classify, features, forecasts, geo, grid, metrics, ml, profiling, quality, ridge, splits, timeaxis
 from ..sources import io
 from ..spec import CALENDAR_COLUMNS, CONTRACT_A, CONTRACT_B, HISTORY_COLUMNS
 from . import base, oracle
@@ -546,25 +546,53 @@ def _predicted(spark, sf, *configs: ml.Config) -> DataFrame:
     return rounded(_each_horizon(spark, sf, made))
 
 
-@query("ml_linear")
+_LINEAR = tuple(c for c in ml.GRID if c.family == "linear")
+_TRAIN, _VALIDATE = "split = 'train'", "split = 'validation'"
+
+
+def _with_models(body: str, *ctes: str) -> str:
+    return oracle.with_models(list(ctes), body)
+
+
+def _ridge(rows: DataFrame, fit_on: str, score_on: str, configs: tuple[ml.Config, ...]) -> DataFrame:
+    """Rows of score_on under each config, horizon and feature set, fitted on rows of fit_on in one pass."""
+    return ridge.predict(ridge.fit(rows.filter(fit_on), (CONTRACT_A, CONTRACT_B), configs), rows.filter(score_on), CONTRACT_B)
+
+
+def _five(df: DataFrame) -> DataFrame:
+    """Predictions to five places: what two solvers of the same equations agree on."""
+    return naive(df.withColumns({c: F.round(c, 5) for c in ("raw_prediction", "prediction")}))
+
+
+_FIVE = "round(raw_prediction, 5) AS raw_prediction, round(prediction, 5) AS prediction"
+
+
+@query("ml_linear", _with_models(f"SELECT key, target_utc, horizon_hours, actual, {_FIVE}, feature_set FROM predicted", oracle.ridge("predicted", _TRAIN, _VALIDATE, ("linear_0.1",))), plain=True)
 def ml_linear(spark, sf):
-    return _predicted(spark, sf, ml.Config("linear_0.1", "linear", 0.1)).drop("config")
+    return _five(_ridge(_paired(spark, sf), _TRAIN, _VALIDATE, (ml.Config("linear_0.1", "linear", 0.1),)).drop("config"))
 
 
-@query("ml_gbt")
-def ml_gbt(spark, sf):
-    return _predicted(spark, sf, *[c for c in ml.GRID if c.family == "trees"])
+def _ridge_scores(predicted: DataFrame) -> DataFrame:
+    return ml.scores(predicted.withColumn("family", F.lit("linear")))
 
 
-def _grid_scores(rows: DataFrame, grid: tuple[ml.Config, ...] = ml.GRID) -> DataFrame:
-    """Validation scores of each config, for all horizons and both feature sets."""
-    scores = None
-    for hours in SPEC.horizons:
-        train, validation = (rows.filter((F.col("split") == s) & (F.col("horizon_hours") == hours)) for s in ("train", "validation"))
-        for contract in (CONTRACT_A, CONTRACT_B):
-            one = ml.fit_and_score(train, validation, contract, grid).withColumn("horizon_hours", F.lit(hours))
-            scores = one if scores is None else scores.unionByName(one)
-    return scores
+_SCORES = (oracle.ridge("predicted", _TRAIN, _VALIDATE, tuple(c.name for c in _LINEAR)), oracle.ridge_scores("scores", "predicted"))
+
+
+@query("ml_ridge_grid", _with_models("SELECT family, config, feature_set, horizon_hours, n_negative, n_invalid, n_rows, round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM scores", *_SCORES), plain=True)
+def ml_ridge_grid(spark, sf):
+    """Validation scores of the linear grid: every penalty, horizon and feature set from one aggregate of the training rows."""
+    return rounded(_ridge_scores(_ridge(_paired(spark, sf), _TRAIN, _VALIDATE, _LINEAR)))
+
+
+def _tree_fits(rows: DataFrame) -> list[ml.Fit]:
+    return ml.fit_each(rows.filter(_TRAIN), SPEC.horizons, (CONTRACT_A, CONTRACT_B), [c for c in ml.GRID if c.family == "trees"])
+
+
+@query("ml_gbt")
+def ml_gbt(spark, sf):
+    rows = _paired(spark, sf)
+    return rounded(ml.predict_each(_tree_fits(rows), rows.filter(_VALIDATE)).drop("family"))
 
 
 def _paired(spark, sf) -> DataFrame:
@@ -574,21 +602,24 @@ def _paired(spark, sf) -> DataFrame:
 
 @query("ml_grid")
 def ml_grid(spark, sf):
-    return rounded(_grid_scores(_paired(spark, sf)))
+    """Validation scores of the whole grid: ridges from one aggregate, trees fitted side by side."""
+    rows = _paired(spark, sf)
+    linear = _ridge_scores(_ridge(rows, _TRAIN, _VALIDATE, _LINEAR))
+    return rounded(linear.unionByName(ml.scores(ml.predict_each(_tree_fits(rows), rows.filter(_VALIDATE)))))
+
+
+_BEST = "best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY horizon_hours, feature_set ORDER BY mae, rmse, config) = 1)"
 
 
-@query("ml_final")
+@query("ml_final", _with_models(
+    f"SELECT f.key, f.target_utc, f.horizon_hours, f.actual, round(f.raw_prediction, 5) AS raw_prediction, round(f.prediction, 5) AS prediction, f.feature_set FROM final f JOIN best b USING (horizon_hours, feature_set, config)",
+    *_SCORES, _BEST, oracle.ridge("final", "split <> 'test'", "split = 'test'", tuple(c.name for c in _LINEAR))), plain=True)
 def ml_final(spark, sf):
     """The linear config that validation rows select for each horizon and feature set, refitted on train and validation rows, predicts test rows once."""
-    rows, linear, done = _paired(spark, sf), {c.name: c for c in ml.GRID if c.family == "linear"}, None
-    # A row for each horizon and feature set.
-    frozen = {(x.horizon_hours, x.feature_set): linear[x.config] for x in ml.select_configs(_grid_scores(rows, tuple(linear.values()))).collect()}
-    for hours in SPEC.horizons:
-        of_horizon = rows.filter(F.col("horizon_hours") == hours)
-        for contract in (CONTRACT_A, CONTRACT_B):
-            one = ml.evaluate_frozen(of_horizon.filter("split <> 'test'"), of_horizon.filter("split = 'test'"), contract, frozen[hours, contract.name])
-            done = one if done is None else done.unionByName(one)
-    return rounded(done)
+    rows = _paired(spark, sf)
+    frozen = ml.select_configs(_ridge_scores(_ridge(rows, _TRAIN, _VALIDATE, _LINEAR))).select("horizon_hours", "feature_set", "config")
+    models = ridge.fit(rows.filter("split <> 'test'"), (CONTRACT_A, CONTRACT_B), _LINEAR).join(frozen, ["horizon_hours", "feature_set", "config"])
+    return _five(ridge.predict(models, rows.filter("split = 'test'"), CONTRACT_B).drop("config"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
