@@ -219,10 +219,11 @@ def _jaccard_join(docs: DataFrame, percent: int) -> DataFrame:
 
     links = labels = None
     while True:
-        labelled = rows.withColumn("label", F.col("cls")).withColumn("last", F.col("hub"))
+        members = rows.select("token", "cls", "place", "weight", "hub")
+        labelled = members.withColumn("label", F.col("cls")).withColumn("last", F.col("hub"))
         if labels is not None:
             of_class, of_hub = (_sorted_side(labels.select(F.col("cls").alias(c), F.col("label").alias(name))) for c, name in (("cls", "label"), ("hub", "last")))
-            labelled = rows.join(of_class, "cls", "left").join(of_hub, "hub", "left").withColumn("label", F.coalesce("label", "cls")).withColumn("last", F.coalesce("last", "hub"))
+            labelled = members.join(of_class, "cls", "left").join(of_hub, "hub", "left").withColumn("label", F.coalesce("label", "cls")).withColumn("last", F.coalesce("last", "hub"))
         # The class of a group that meets most others; not of the last hub's component, if others are left.
         best = F.max(F.struct(F.coalesce(F.col("label") != F.col("last"), F.lit(True)).alias("new"), "weight", "cls", "label"))
         hubs = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), best.alias("best")).filter("low < high").select("token", "best.cls", "best.label")
