@@ -87,12 +87,13 @@ def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], T]], width: in
     Each job's Spark jobs go to a pool of their own, which shares the cores fairly where the scheduler's mode is FAIR.
     """
 
+    @inheritable_thread_target(spark)
     def run(k: int) -> T:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{k % width}")
         return jobs[k]()
 
     with ThreadPoolExecutor(width) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(run), k) for k in range(len(jobs))]]
+        return [f.result() for f in [pool.submit(run, k) for k in range(len(jobs))]]
 
 
 @dataclass(frozen=True)

@@ -79,6 +79,16 @@ def contract_difference(spark: SparkSession, a: FeatureContract, b: FeatureContr
     return _listed(spark, sorted(wrong))
 
 
+def label_difference(spark: SparkSession, a: dict[str, list[str]], b: dict[str, list[str]]) -> DataFrame:
+    """column, position, value: labels of two fitted indexers that the other doesn't give that place. A label for each category value."""
+    sides = [{(c, k, v) for c, labels in x.items() for k, v in enumerate(labels)} for x in (a, b)]
+    return spark.createDataFrame(sorted(sides[0] ^ sides[1]), "column string, position int, value string")
+
+
+def invalid_predictions(predicted: DataFrame) -> DataFrame:
+    return predicted.filter("actual IS NULL OR prediction IS NULL OR isnan(prediction) OR prediction < 0")
+
+
 def target_among_features(spark: SparkSession, *contracts: FeatureContract) -> DataFrame:
     return _listed(spark, [c.name for c in contracts if c.target in c.columns])
 

@@ -37,6 +37,11 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def partition_files(lines: DataFrame, path: str, by: list[str]) -> None:
+    """Lines (value) as text, one folder for each value of ``by``."""
+    lines.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).text(path)
+
+
 def write_sorted(df: DataFrame, path: str, by: list[str]) -> None:
     """Overwrite with rows in order: ranges of the keys by file, sorted within."""
     df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
