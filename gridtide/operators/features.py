@@ -55,14 +55,23 @@ def local_hours(grid: DataFrame, tz: str) -> DataFrame:
 
 
 def with_seasonal_lags(rows: DataFrame, grid: DataFrame, tz: str) -> DataFrame:
-    """Adds demand at the same local hour a day and a week before, and its source time. Gap and fold hours give null."""
-    hours = local_hours(grid, tz).select("key", F.col("local_hour_time").alias("__at"), "demand", "source_utc")
-    local = to_local(F.col("target_utc"), tz)
-    wanted = rows.withColumns({"__day": local - F.expr("INTERVAL 1 DAY"), "__week": local - F.expr("INTERVAL 7 DAYS")})
-    for name, at in (("day", "__day"), ("week", "__week")):
-        found = hours.select("key", F.col("__at").alias(at), F.col("demand").alias(f"demand_{name}_before"), F.col("source_utc").alias(f"demand_{name}_source"))
-        wanted = wanted.join(found, ["key", at], "left")
-    return wanted.drop("__day", "__week")
+    """Adds demand at the same local hour a day and a week before, and its source time.
+
+    Rows and grid stand in one window by key and local time, in which only the grid's hours are looked at, so there is one exchange and no join. Local times that no
+    instant shows (a gap) or that two show (a fold) give null, and so does an unavailable hour. rows need not be hours of the grid.
+    """
+    held = F.struct(*[rows[c] for c in rows.columns])
+    local = epoch(to_local(F.col("target_utc"), tz)).alias("__local")
+    hours = grid.select("key", local, F.col("target_utc").alias("__source"), "demand", "available", F.lit(None).cast(rows.select(held.alias("r")).schema[0].dataType).alias("__row"))
+    wanted = rows.select("key", local, F.lit(None).cast("timestamp").alias("__source"), F.lit(None).cast(grid.schema["demand"].dataType).alias("demand"), F.lit(None).cast("boolean").alias("available"), held.alias("__row"))
+    by_key = Window.partitionBy("key").orderBy("__local")
+    found = hours.unionByName(wanted)
+    for name, days in (("day", 1), ("week", 7)):
+        at = by_key.rangeBetween(-days * 24 * HOUR, -days * 24 * HOUR)
+        single = (F.count("__source").over(at) == 1) & (F.count(F.when(F.col("available"), 1)).over(at) == 1)
+        found = found.withColumns({f"demand_{name}_before": F.when(single, F.max("demand").over(at)), f"demand_{name}_source": F.when(single, F.max("__source").over(at))})
+    lags = ("demand_day_before", "demand_day_source", "demand_week_before", "demand_week_source")
+    return found.filter("__row IS NOT NULL").select("__row.*", *lags)
 
 
 def build_features(panel: DataFrame, grid: DataFrame, spec: PanelSpec) -> DataFrame:
