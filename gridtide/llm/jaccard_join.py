@@ -10,9 +10,9 @@ to pass all of them:
 * Sets meet by the first order's prefix shingles. Of a pair, the prefixes of each further order have to share a bit (of BITS); the places of the shingle that
   it meets by bound the overlap; sizes and parity sketches bound it too. None of these loses a link.
 
-Equal sets are one class and count once. What is left of the pairs is verified on full sets. Not all pairs have to be verified to know the components: first each class is
-paired with the hub of its group, the class that meets most others; then the classes of a group that are still in different components are
-compared, in blocks of BLOCK, so that no task holds a large group.
+Equal sets are one class and count once. What is left of the pairs is verified on full sets. Not all pairs have to be verified to know the components: in ROUNDS rounds, the
+classes of a group are parted by a least hash of their whole sets, which near sets are likely to share, and each is paired with the hub of its part, the class that meets most others. Then all
+classes of a group that are still in different components are compared, in blocks of BLOCK, so that no task holds a large group and no link is lost.
 """
 
 from __future__ import annotations
@@ -36,9 +36,16 @@ ORDERS, PARTS = 3, 5
 BITS, SKETCH_BITS = 256, 1024
 #: Classes of a group that one task compares with one another.
 BLOCK = 1 << 10
+#: Prefix shingles that stand before one, of which a row in its group keeps the nearest, so that pairs meet by the first they share.
+BEFORE = 32
+#: Pairs of a class that are verified at first; each further step takes as many times more.
+FIRST_PAIRS = 8
+#: Rounds of hubs.
+ROUNDS = 3
 #: Hashes of ids that are sent to all tasks to find the texts of wanted classes: this many at most, however large the corpus.
 ID_HASHES = 1 << 20
 
+_SEEDS = np.random.default_rng(20240504).integers(1, 1 << 63, ROUNDS, dtype=np.uint64) | np.uint64(1)
 _PLACES = np.random.default_rng(20240503).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -63,6 +70,11 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return sets
 
 
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """ROUNDS least hashes of a set; two sets share one as often as they are similar."""
+    return np.array([_mix(shingles * seed).min() for seed in _SEEDS] if len(shingles) else [0] * ROUNDS, np.uint64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -113,18 +125,18 @@ def _folded(tokens: str) -> Column:
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
-    """cls, set (binary), its parity sketch, and its pools of the further orders, of the classes in wanted (cls, digest, rep): the texts of their first documents are hashed again."""
+    """cls, set (binary), its parity sketch, its least hashes, and its pools of the further orders, of the classes in wanted (cls, digest, rep): the texts of their first documents are hashed again."""
     more = [f"{c}{k}" for k in range(1, ORDERS) for c in ("own", "tokens")]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets([(x or "").encode() for x in batch.column(2).to_pylist()])
             same = pa.array([_digest(x) == d for x, d in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-            columns = [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), _lists([odd_sketch(x) for x in sets])]
+            columns = [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), _lists([odd_sketch(x) for x in sets]), _lists([least_hashes(x) for x in sets])]
             for k in range(1, ORDERS):
                 pools = [pool(x, k, percent) for x in sets]
                 columns += [pa.array([own for _, own in pools], pa.int64()), _lists([x for x, _ in pools])]
-            yield pa.RecordBatch.from_arrays(columns, names=["cls", "set", "odd", *more]).filter(same)
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "set", "odd", "mins", *more]).filter(same)
 
     def hashed_id(c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(ID_HASHES))
@@ -133,7 +145,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     found = texts.select(F.col("doc_id").alias("__d"), "text", hashed_id("doc_id").alias("__h")).join(F.broadcast(some), "__h", "left_semi")
     joined = _sorted_side(wanted).join(found, F.col("rep").eqNullSafe(F.col("__d"))).select("cls", "digest", "text")
     kinds = ", ".join(f"own{k} long, tokens{k} array<long>" for k in range(1, ORDERS))
-    return joined.mapInArrow(hashed, f"cls long, set binary, odd array<long>, {kinds}").dropDuplicates(["cls"])
+    return joined.mapInArrow(hashed, f"cls long, set binary, odd array<long>, mins array<long>, {kinds}").dropDuplicates(["cls"])
 
 
 def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
@@ -162,7 +174,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     x, y = (_sorted_side(sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}"))) for c in "ab")
-    return staged(staged(pairs, "pairs").join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(similar, "a long, b long"), "links")
+    return staged(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(similar, "a long, b long"), "links")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -208,54 +220,64 @@ def _jaccard_join(docs: DataFrame, percent: int) -> DataFrame:
     sides = staged(passed.join(_sorted_side(sets.select("cls", "odd")), "cls").join(_sorted_side(prefixes), "cls"), "sides")
 
     # Groups of the first order's prefix shingles: each row a class, the place of the shingle in its order, and how many classes it meets.
-    index = sides.select("cls", "alone", F.posexplode("tokens").alias("at", "token")).select("token", "cls", (F.col("alone") + F.col("at") + 1).alias("place"))
+    before = F.slice("tokens", F.greatest(F.col("at") - (BEFORE - 1), F.lit(1)), F.least("at", F.lit(BEFORE)))
+    index = sides.select("cls", "alone", "tokens", F.posexplode("tokens").alias("at", "token")).select("token", "cls", (F.col("alone") + F.col("at") + 1).alias("place"), before.alias("before"))
     sizes = index.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     met = staged(index.join(_sorted_side(sizes), "token"), "met")
     weights = met.groupBy("cls").agg(F.sum("size").alias("weight"))
-    rows = staged(met.drop("size").join(_sorted_side(weights), "cls").withColumn("hub", F.lit(None).cast("long")), "rows")
+    rows = staged(met.drop("size").join(_sorted_side(weights), "cls").join(_sorted_side(sets.select("cls", "mins")), "cls"), "rows")
 
     def side(x: str) -> DataFrame:
         return _sorted_side(sides.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in held]))
 
-    links = labels = None
-    while True:
-        members = rows.select("token", "cls", "place", "weight", "hub")
-        labelled = members.withColumn("label", F.col("cls")).withColumn("last", F.col("hub"))
-        if labels is not None:
-            of_class, of_hub = (_sorted_side(labels.select(F.col("cls").alias(c), F.col("label").alias(name))) for c, name in (("cls", "label"), ("hub", "last")))
-            labelled = members.join(of_class, "cls", "left").join(of_hub, "hub", "left").withColumn("label", F.coalesce("label", "cls")).withColumn("last", F.coalesce("last", "hub"))
-        # The class of a group that meets most others; not of the last hub's component, if others are left.
-        best = F.max(F.struct(F.coalesce(F.col("label") != F.col("last"), F.lit(True)).alias("new"), "weight", "cls", "label"))
-        hubs = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), best.alias("best")).filter("low < high").select("token", "best.cls", "best.label")
-        rows = staged(labelled.drop("hub", "last").join(_sorted_side(hubs.select("token", F.col("cls").alias("hub"), F.col("label").alias("hub_label"))), "token").filter("cls <> hub"), "rows")
-        n_open = rows.agg(F.countDistinct("label")).first()[0]
-        if not n_open:
-            break
-        stars = rows.filter("label <> hub_label").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-        new = _verified(stars.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent)).select("a", "b"), sets, percent)
-        links = new if links is None else links.unionByName(new)
+    def labelled() -> DataFrame:
+        """rows with the label of their component."""
+        return rows.withColumn("label", F.col("cls")) if labels is None else rows.join(_sorted_side(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        """Of pairs of classes, those that no round has looked at and that may link."""
+        new = pairs.distinct() if tested is None else pairs.distinct().join(_sorted_side(tested), ["a", "b"], "left_anti")
+        return new.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent)).select("a", "b")
+
+    links = labels = tested = None
+    for r in range(ROUNDS):
+        now = labelled().withColumn("least", F.get("mins", F.lit(r)))
+        best = F.max(F.struct("weight", "cls", "label")).alias("best")
+        hubs = now.groupBy("token", "least").agg(F.min("label").alias("low"), F.max("label").alias("high"), best).filter("low < high").select("token", "least", F.col("best.cls").alias("hub"), F.col("best.label").alias("hub_label"))
+        met = now.join(_sorted_side(hubs), ["token", "least"]).filter("label <> hub_label")
+        pairs = staged(untested(met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))), "pairs")
+        new = _verified(pairs, sets, percent)
+        links, tested = (new, pairs) if links is None else (links.unionByName(new), tested.unionByName(pairs))
         labels = component_labels(links)
-        if 4 * new.count() < n_open:  # hubs don't join much any more
-            break
 
-    if n_open:
-        labelled = rows.select("token", "cls", "place").join(_sorted_side(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        blocks = F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}")
-        mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks")).filter("low < high").select("token", "blocks")
-        left = staged(labelled.join(_sorted_side(mixed), "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).join(_sorted_side(sides.select("cls", *held)), "cls"), "open")
-        kept = ("cls", "place", "label", *held)
-        x = left.select("token", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias("a" if c == "cls" else f"{c}_a") for c in kept])
-        y = left.select(F.col("token").alias("token_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i_b"), F.col("block").alias("j_b"), *[F.col(c).alias("b" if c == "cls" else f"{c}_b") for c in kept])
-        met = (F.col("token") == F.col("token_b")) & (F.col("i") == F.col("i_b")) & (F.col("j") == F.col("j_b"))
-        # If a shingle is the first that two prefixes share, no shingle before it counts to the overlap.
-        reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
-        fits = (100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b"))
-        once = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
-        across = x.join(_sorted_side(y), met & once & (F.col("label_a") != F.col("label_b")) & fits & _may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(_verified(across, sets, percent))
+    # What the hubs leave: classes of a group that are still in different components.
+    now = labelled().select("token", "cls", "place", "before", "label")
+    blocks = F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}")
+    mixed = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks")).filter("low < high").select("token", "blocks")
+    left = staged(now.join(_sorted_side(mixed), "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).join(_sorted_side(sides.select("cls", *held)), "cls"), "open")
+    kept = ("cls", "place", "before", "label", *held)
+    x = left.select("token", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias("a" if c == "cls" else f"{c}_a") for c in kept])
+    y = left.select(F.col("token").alias("token_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i_b"), F.col("block").alias("j_b"), *[F.col(c).alias("b" if c == "cls" else f"{c}_b") for c in kept])
+    met = (F.col("token") == F.col("token_b")) & (F.col("i") == F.col("i_b")) & (F.col("j") == F.col("j_b"))
+    # If a shingle is the first that two prefixes share, no shingle before it counts to the overlap.
+    reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    fits = (100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b"))
+    once = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
+    first = ~F.arrays_overlap("before_a", "before_b")
+    across = x.join(_sorted_side(y), met & once & (F.col("label_a") != F.col("label_b")) & fits & _may_link(percent) & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs, some = staged(across.join(_sorted_side(tested), ["a", "b"], "left_anti"), "pairs"), FIRST_PAIRS
+    while True:
+        # Some pairs of each class, then more; what has come into one component meanwhile needs no test.
+        chosen = staged(pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(some)).alias("k")).agg(F.min("b").alias("b")).select("a", "b"), "pairs")
+        if not chosen.limit(1).count():
+            break
+        links = links.unionByName(_verified(chosen, sets, percent))
         labels = component_labels(links)
+        of_a, of_b = (_sorted_side(labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}"))) for c in "ab")
+        apart = pairs.join(_sorted_side(chosen), ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left").filter("coalesce(label_a, a) <> coalesce(label_b, b)")
+        pairs, some = staged(apart.select("a", "b"), "pairs"), some * FIRST_PAIRS
 
-    component = classes.withColumn("label", F.col("cls")) if labels is None else classes.join(_sorted_side(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    component = classes.join(_sorted_side(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = component.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = component.join(_sorted_side(smallest), "label").select("digest", "component_id")
     return signs.join(_sorted_side(of_class), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
