@@ -62,6 +62,15 @@ class Scratch:
         self.paths: list[str] = []
         self.tables: list[str] = []
 
+    def read_by(self, df: DataFrame) -> bool:
+        """Whether df reads any of them."""
+        known = [f"/{Path(p).parent.name}/" for p in self.paths] + [f"/{t.split('.')[-1].lower()}/" for t in self.tables]
+        return bool(known) and any(k in file for file in df.inputFiles() for k in known)
+
+    def adopt(self, other: Scratch) -> None:
+        self.paths += other.paths
+        self.tables += other.tables
+
     def drop(self, spark: SparkSession) -> None:
         """Remove them. Their DataFrames can't be read any more."""
         for table in self.tables:
@@ -120,6 +129,11 @@ def owner(outlives: bool = False) -> Scratch:
     return scopes[-1] if scopes else Scratch()
 
 
+def in_scope() -> bool:
+    """Whether a scope is open, which removes what is staged in it."""
+    return bool(_OPEN.get())
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts, which sizes the shuffles that follow."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

@@ -2,7 +2,7 @@
 
 A store is a folder: ``runs/`` holds immutable runs (each a folder of Parquet shards), ``manifests/``
 holds one table for each version, and ``versions/`` holds one small file for each committed version that names its manifest.
-Arrivals are appended as small shards. When FANOUT runs are of similar size, they are merged into one run of
+Arrivals are appended as small shards, all those of one call in one version. When FANOUT runs are of similar size, they are merged into one run of
 target-sized files; merging joins whole input partitions, so no row is shuffled.
 
 A version is committed by moving a finished file to its name, which fails if the name is taken; so readers see a
@@ -12,6 +12,7 @@ commits the number after it; where another was first, it reads the new version a
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -92,9 +93,15 @@ def _move_if_free(spark: SparkSession, source: str, target: str) -> None:
         raise
 
 
-def commit(spark: SparkSession, root: str, shards: DataFrame, version: int) -> int:
-    """Write the manifest and the version's file under new names, then give the file the version's name, which only one writer can."""
+def commit(spark: SparkSession, root: str, shards: DataFrame, version: int, batch: str | None = None) -> int:
+    """Write the manifest and the version's file under new names, then give the file the version's name, which only one writer can.
+
+    Before that, a ``batch`` notes the version and manifest that it is to be in; it is in the store if that version names that manifest.
+    """
     name = uuid.uuid4().hex
+    if batch is not None:
+        fs, at, _ = _file_system(spark, f"{_batch_folder(root, batch)}/{version:08d}-{name}")
+        fs.create(at, False).close()
     shards.select("run", "sequence", "level", "shard", "bytes").coalesce(1).write.parquet(f"{root}/manifests/{name}")
     source = f"{root}/manifests/{name}.version"
     fs, at, _ = _file_system(spark, source)
@@ -108,7 +115,22 @@ def commit(spark: SparkSession, root: str, shards: DataFrame, version: int) -> i
     return version
 
 
-def _build_on_last(spark: SparkSession, root: str, change: Callable[[DataFrame, int], DataFrame | None]) -> int | None:
+def _batch_folder(root: str, batch: str) -> str:
+    return f"{root}/batches/{hashlib.sha256(batch.encode()).hexdigest()}"
+
+
+def batch_version(spark: SparkSession, root: str, batch: str) -> int | None:
+    """The version that brought a batch, if one has."""
+    fs, at, _ = _file_system(spark, _batch_folder(root, batch))
+    known = set(versions(spark, root))
+    for x in fs.listStatus(at) if fs.exists(at) else ():
+        version, _, name = x.getPath().getName().partition("-")
+        if int(version) in known and _manifest_name(spark, root, int(version)) == name:
+            return int(version)
+    return None
+
+
+def _build_on_last(spark: SparkSession, root: str, change: Callable[[DataFrame, int], DataFrame | None], batch: str | None = None) -> int | None:
     """Commit what ``change`` makes of the last version's shards for the next number; begin anew where another writer was first."""
     while True:
         seen = last_version(spark, root)
@@ -116,7 +138,7 @@ def _build_on_last(spark: SparkSession, root: str, change: Callable[[DataFrame,
         if shards is None:
             return None
         try:
-            return commit(spark, root, shards, seen + 1)
+            return commit(spark, root, shards, seen + 1, *([batch] if batch is not None else []))
         except CommitConflict:
             continue
 
@@ -136,14 +158,17 @@ def _free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def append(docs: DataFrame, root: str, arrival: Column | None = None) -> list[int]:
-    """Add docs as small immutable shards; one run and one version for each value of ``arrival``, or one for all rows.
+def append(docs: DataFrame, root: str, arrival: Column | None = None, batch: str | None = None) -> list[int]:
+    """Add docs as small immutable shards: one run for each value of ``arrival``, or one for all rows, and one version for all of them, whose number is returned.
 
     ``arrival`` is an integer column without nulls, which is not stored. Rows keep all their
     columns, nulls and repetitions. Values of ``arrival`` without rows give no run; an empty table gives one run
-    without rows, which holds the columns.
+    without rows, which holds the columns. A call that dies adds no row. A ``batch`` that the store holds already is not added again (and
+    nothing is returned), so a call of which the caller doesn't know whether it came through can be repeated.
     """
     spark, name = docs.sparkSession, uuid.uuid4().hex
+    if batch is not None and batch_version(spark, root, batch):
+        return []
     by = _free_name(docs, "arrival")
     docs.withColumn(by, F.lit(0) if arrival is None else arrival).write.partitionBy(by).option("compression", "zstd").parquet(f"{root}/runs/{name}")
     fs, at, _ = _file_system(spark, f"{root}/runs/{name}")
@@ -152,7 +177,14 @@ def append(docs: DataFrame, root: str, arrival: Column | None = None) -> list[in
     if not arrived:
         arrived = [f"{name}/empty"]
         docs.limit(0).write.parquet(f"{root}/runs/{arrived[0]}")
-    return [_build_on_last(spark, root, lambda shards, version, run=run: shards.unionByName(_shards_of(spark, root, {run: (version, 0)}))) for run in arrived]
+
+    def added(shards: DataFrame, version: int) -> DataFrame | None:
+        if batch is not None and batch_version(spark, root, batch):  # another writer of the same batch was first
+            return None
+        return shards.unionByName(_shards_of(spark, root, {run: (version, 0) for run in arrived}))
+
+    version = _build_on_last(spark, root, added, batch)
+    return [] if version is None else [version]
 
 
 def similar_runs(all_runs: list[Run], fanout: int = FANOUT) -> list[Run]:

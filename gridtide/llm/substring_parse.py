@@ -357,8 +357,8 @@ def repeated_bytes_report(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated characters gone from text, and n_chars as it is now; texts of which nothing is left go."""
+    """docs with the repeated characters gone from text; texts of which nothing is left go. A column n_chars of whole numbers is the count as it is now, one of another type stays."""
     found = repeated_bytes(docs, as_text=True)
     gone = (F.col("n_removed") > 0) & (F.trim("kept") == "")
-    columns = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    columns = {"text": F.col("kept")} | {c: F.char_length("kept").cast(kind) for c, kind in docs.dtypes if c == "n_chars" and kind in ("int", "bigint")}
     return found.filter(~gone).select(*[columns[c].alias(c) if c in columns else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -133,6 +133,8 @@ def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
     empty: 0 bytes, 0 tokens. Repeated rows each give a row, other columns are ignored, an empty
     table gives an empty table. ``head_size`` changes only how pre-tokens meet their counts.
     """
+    if {"n_bytes", "n_tokens"} & set(keep):
+        raise ValueError("keep may not name n_bytes or n_tokens")
     spark = docs.sparkSession
     bounded_batches(spark)
     kept = [field(docs, name) for name in keep]

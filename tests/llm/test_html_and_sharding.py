@@ -230,3 +230,33 @@ def test_arrivals(spark, docs, no_docs):
     assert sharding.append(no_docs, root) == [1]
     assert sharding.read(spark, root).columns == no_docs.columns and sharding.read(spark, root).count() == 0
     assert sharding.sharded_report(no_docs, new_path(spark, "store")).count() == 0
+
+
+@pytest.mark.parametrize("step", ["write", "manifest", "move", "after"])
+def test_an_append_that_dies_can_be_repeated(spark, monkeypatch, step):
+    """One call with two arrivals and a batch: whatever the step that it dies in, repeating it gives each row once."""
+    root = new_path(spark, "store")
+    first = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, part int")
+    sharding.append(first, root, batch="monday")
+    rows = spark.createDataFrame([(10 + k, k % 2) for k in range(4)], "doc_id long, part int")
+
+    def lost(*_, **__):
+        raise OSError("lost")
+
+    move = sharding._move_if_free
+    with monkeypatch.context() as broken:
+        if step == "after":
+            broken.setattr(sharding, "_move_if_free", lambda *x: (move(*x), lost()))
+        else:
+            broken.setattr(sharding, {"write": "_build_on_last", "manifest": "commit", "move": "_move_if_free"}[step], lost)
+        with pytest.raises(OSError, match="lost"):
+            sharding.append(rows, root, rows["part"], batch="tuesday")
+    held = 8 if step == "after" else 4
+    assert sum(ids(spark, root).values()) == held
+    assert sharding.append(rows, root, rows["part"], batch="tuesday") == ([] if step == "after" else [2])
+    assert ids(spark, root) == Counter([*range(4), *range(10, 14)])
+    assert sharding.append(rows, root, rows["part"], batch="tuesday") == [] == sharding.append(first, root, batch="monday")
+    assert len(sharding.runs(sharding.manifest(spark, root))) == 3
+    sharding.compact(spark, root, fanout=3)
+    assert sharding.append(rows, root, batch="tuesday") == [] and sharding.batch_version(spark, root, "tuesday") == 2
+    assert sharding.append(rows, root) == [len(sharding.versions(spark, root))]

@@ -94,3 +94,53 @@ def test_all_stages_against_plain_python(spark, vocabularies):
 @pytest.mark.parametrize("rows", [[], [(1, None), (None, ""), (None, None)]])
 def test_tables_of_which_nothing_is_kept(spark, rows):
     assert corpus_pipeline.run(spark, written(spark, rows, [])).count() == 0
+
+
+def small_tables(spark):
+    base, passage = prose(71, 150), prose(72, 60)
+    rows = [(k, prose(k, 120 + k)) for k in range(12)] + [(20, base), (21, edited(1, base.split(" "), 1)), (43, "too short")]
+    rows += [(30 + k, prose(80 + k, 100) + " " + passage + " " + prose(90 + k, 60)) for k in range(4)]
+    return written(spark, rows, [("a", prose(5, 12))])
+
+
+def scratch_left():
+    from gridtide.llm.common import Scratch
+
+    return corpus_pipeline._LAST.get("chained", Scratch())
+
+
+def test_stages_chain_without_a_copy_between_them(spark, vocabularies):
+    root = small_tables(spark)
+    want = Counter((x.doc_id, x.text, x.n_tokens_) for x in corpus_pipeline.run(spark, root).collect())
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, root)
+    assert Counter((x.doc_id, x.text, x.n_tokens_) for x in docs.collect()) == want
+    # A stage that reads what was written between takes over from none: the scratch data of the one before goes.
+    again = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{root}/documents.parquet"), root)
+    before = list(corpus_pipeline._LAST[root].paths)
+    again.write.parquet(f"{root}/good.parquet")
+    corpus_pipeline.near_duplicate_groups(spark, spark.read.parquet(f"{root}/good.parquet"), root).count()
+    assert not set(before) & set(corpus_pipeline._LAST[root].paths)
+
+
+def test_stages_in_a_scope_leave_nothing(spark, vocabularies):
+    from gridtide.llm.common import scratch
+
+    root = small_tables(spark)
+    with scratch(spark) as own:
+        docs = spark.read.parquet(f"{root}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, root)
+        n = docs.count()
+        assert own.paths
+    assert n > 0 and not own.paths and not own.tables and root not in corpus_pipeline._LAST
+
+
+def test_own_columns_of_other_types_stay(spark):
+    from gridtide.llm import substring_parse
+
+    docs = spark.createDataFrame([(1, "a" * 60, "own"), (2, "b " + "a" * 55, "own")], "doc_id long, text string, n_chars string")
+    assert sorted(map(tuple, substring_parse.without_repeats(docs).collect())) == [(1, "a" * 60, "own"), (2, "b ", "own")]
+    whole = substring_parse.without_repeats(docs.withColumn("n_chars", docs["doc_id"].cast("int")))
+    assert dict(whole.dtypes)["n_chars"] == "int" and {x.doc_id: x.n_chars for x in whole.collect()} == {1: 60, 2: 2}

@@ -111,3 +111,8 @@ def test_token_files_of_nothing(spark, no_docs, vocabularies):
     path = new_path(spark, "ids")
     token_files.write_token_ids(no_docs, path, vocabularies.path("word_bpe_49k.json"))
     assert token_files.token_file_report(token_files.read_token_ids(spark, path)).count() == 0
+
+
+def test_kept_columns_may_not_be_the_counts(docs, vocabularies):
+    with pytest.raises(ValueError, match="keep"):
+        token_counts.token_counts(docs, vocabularies.path("byte_bpe_50k.json"), keep=("doc_id", "n_tokens"))
