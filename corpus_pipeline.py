@@ -12,24 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.llm import bpe, decontamination, near_duplicates, quality, substring_parse
-from gridtide.llm.common import Scratch, collected, read_table, staged
+from gridtide.llm.common import Scratch, collected, in_scope, owner, read_table, scratch, staged
 from gridtide.llm.queries import pattern, vocabulary
 
 #: Word shingles' similarity from which documents are near-duplicates here; op7's contract is 85.
 NEAR_PERCENT = 80
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Scratch data of the last stage that ran, by input folder.
+#: Scratch data of the last stage that ran outside of scopes, by input folder.
 _LAST: dict[str, Scratch] = {}
 
 
 def _stage(work: Stage) -> Stage:
-    """A stage that begins by removing the scratch data of the one before, whose result is written by then."""
+    """A stage whose result is lazy and may read scratch data.
+
+    In a scope (``with scratch(spark):``) these stay until it ends. Outside, a stage begins by removing those of the one before, unless its own input still reads
+    them: then they stay as long as its own.
+    """
 
     @wraps(work)
     def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _LAST.pop(sf_dir, Scratch()).drop(spark)
-        with collected(_LAST.setdefault(sf_dir, Scratch())):
+        if in_scope():
+            return work(spark, docs, sf_dir)
+        before, own = _LAST.pop(sf_dir, Scratch()), Scratch()
+        if before.read_by(docs):
+            own.adopt(before)
+        else:
+            before.drop(spark)
+        _LAST[sf_dir] = own
+        with collected(own):
             return work(spark, docs, sf_dir)
 
     return begun
@@ -84,10 +95,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read_table(spark, sf_dir, "documents"), Scratch()
     for name, stage in STAGES:
         after = Scratch()
-        result = stage(spark, docs, sf_dir)
-        with collected(after):
-            docs = staged(result, name)
+        with scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            with collected(after):
+                docs = staged(result, name)
         before.drop(spark)
         before = after
-    _LAST.pop(sf_dir, Scratch()).drop(spark)
+    owner().adopt(before)
     return docs
