@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import shift_hours
-from ..operators import features, forecasts, metrics, ml, quality, splits
+from ..operators import features, forecasts, metrics, ml, quality, sketches, splits
 from ..sources import files, io, stages
 from ..spec import CONTRACT_A, CONTRACT_B, FeatureContract
 from . import base
@@ -259,3 +259,24 @@ def sorted_report(spark, sf):
     """A report's lines in order; a few rows for each split, so one sort."""
     scores = metrics.baseline_metrics(metrics.baselines_long(splits.paired_population(base.feature_rows(spark, sf)))).select("split", "baseline", "horizon_hours", "n_rows", "mae")
     return rounded(metrics.numbered(scores, ["split", "horizon_hours", "baseline"]))
+
+
+# Sketches
+
+
+@query("quantile_history", """SELECT l_returnflag AS flag, p.p AS share, count(*) AS n, CAST(max(n_years) AS BIGINT) AS n_periods, TRUE AS within
+  FROM (SELECT l_returnflag, count(DISTINCT year(l_shipdate)) OVER (PARTITION BY l_returnflag) AS n_years FROM lineitem) CROSS JOIN (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]) AS p) p GROUP BY 1, 2""", plain=True)
+def quantile_history(spark, sf):
+    """Prices' quantiles by flag from stored sketches of each year, of which the last is added later; and whether the exact rank of each is within the bound."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.year("l_shipdate").alias("period"), F.col("l_extendedprice").alias("v"))
+    stage = stages.Stage(spark, io.shared_path(spark, "sketches"), "period")
+    for some in (rows.filter("period < 1998"), rows):
+        sketches.update_history(stage, some, ["flag"], "v")
+    stored = stage.read()
+    periods = stored.groupBy("flag").agg(F.count("*").alias("n_periods"))
+    merged = sketches.merged_sketches(stored, ["flag"]).join(periods, "flag")
+    found = merged.select("flag", "n", "n_periods", F.explode(F.array(*[F.struct(F.lit(p).alias("share"), sketches.quantile("sketch", p).alias("q")) for p in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("x")).select("flag", "n", "n_periods", "x.*")
+    # A few quantiles for each flag: a small side.
+    ranked = rows.join(F.broadcast(found), "flag").groupBy("flag", "share", "n", "n_periods").agg((F.count_if(F.col("v") < F.col("q")) / F.col("n")).alias("below"), (F.count_if(F.col("v") <= F.col("q")) / F.col("n")).alias("upto"))
+    off = F.greatest(F.col("below") - F.col("share"), F.col("share") - F.col("upto"))
+    return ranked.select("flag", "share", "n", "n_periods", (off <= sketches.rank_error()).alias("within"))
