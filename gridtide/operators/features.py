@@ -54,6 +54,24 @@ def local_hours(grid: DataFrame, tz: str) -> DataFrame:
     return per.select("key", "local_hour_time", "n_instants", "n_available", F.when(single, F.col("__demand")).alias("demand"), F.when(single, F.col("__source")).alias("source_utc"))
 
 
+LAGS = ("demand_day_before", "demand_day_source", "demand_week_before", "demand_week_source")
+
+
+def _lagged(hours: DataFrame) -> DataFrame:
+    """hours (key, __local, __source, demand, available) with the lags: values of the one available hour that shows the local time a day or a week before."""
+    by_key = Window.partitionBy("key").orderBy("__local")
+    for name, days in (("day", 1), ("week", 7)):
+        at = by_key.rangeBetween(-days * 24 * HOUR, -days * 24 * HOUR)
+        single = (F.count("__source").over(at) == 1) & (F.count(F.when(F.col("available"), 1)).over(at) == 1)
+        hours = hours.withColumns({f"demand_{name}_before": F.when(single, F.max("demand").over(at)), f"demand_{name}_source": F.when(single, F.max("__source").over(at))})
+    return hours
+
+
+def seasonal_lags(grid: DataFrame, tz: str) -> DataFrame:
+    """key, target_utc and the lags of every hour of the grid."""
+    return _lagged(grid.withColumns({"__local": epoch(to_local(F.col("target_utc"), tz)), "__source": F.col("target_utc")})).select("key", "target_utc", *LAGS)
+
+
 def with_seasonal_lags(rows: DataFrame, grid: DataFrame, tz: str) -> DataFrame:
     """Adds demand at the same local hour a day and a week before, and its source time.
 
@@ -64,21 +82,18 @@ def with_seasonal_lags(rows: DataFrame, grid: DataFrame, tz: str) -> DataFrame:
     local = epoch(to_local(F.col("target_utc"), tz)).alias("__local")
     hours = grid.select("key", local, F.col("target_utc").alias("__source"), "demand", "available", F.lit(None).cast(rows.select(held.alias("r")).schema[0].dataType).alias("__row"))
     wanted = rows.select("key", local, F.lit(None).cast("timestamp").alias("__source"), F.lit(None).cast(grid.schema["demand"].dataType).alias("demand"), F.lit(None).cast("boolean").alias("available"), held.alias("__row"))
-    by_key = Window.partitionBy("key").orderBy("__local")
-    found = hours.unionByName(wanted)
-    for name, days in (("day", 1), ("week", 7)):
-        at = by_key.rangeBetween(-days * 24 * HOUR, -days * 24 * HOUR)
-        single = (F.count("__source").over(at) == 1) & (F.count(F.when(F.col("available"), 1)).over(at) == 1)
-        found = found.withColumns({f"demand_{name}_before": F.when(single, F.max("demand").over(at)), f"demand_{name}_source": F.when(single, F.max("__source").over(at))})
-    lags = ("demand_day_before", "demand_day_source", "demand_week_before", "demand_week_source")
-    return found.filter("__row IS NOT NULL").select("__row.*", *lags)
+    return _lagged(hours.unionByName(wanted)).filter("__row IS NOT NULL").select("__row.*", *LAGS)
 
 
-def build_features(panel: DataFrame, grid: DataFrame, spec: PanelSpec) -> DataFrame:
-    """panel rows (key, target_utc, horizon_hours, cutoff_utc, demand, forecasts) with history, calendar and flags."""
-    history = history_at_cutoff(grid)
-    joined = panel.join(history, ["key", "cutoff_utc"], "left")
-    dated = with_calendar(with_seasonal_lags(joined, grid, spec.tz), spec.tz)
+def build_features(panel: DataFrame, grid: DataFrame, spec: PanelSpec, stored: bool = False) -> DataFrame:
+    """panel rows (key, target_utc, horizon_hours, cutoff_utc, demand, forecasts) with history, calendar and flags.
+
+    ``stored`` says that both are tables bucketed by key alike (:func:`gridtide.sources.io.write_bucketed`), and that the panel's hours are those of the grid: then
+    history and lags are windows over the grid's buckets that the panel's buckets are joined to, and nothing is exchanged.
+    """
+    joined = panel.join(history_at_cutoff(grid), ["key", "cutoff_utc"], "left")
+    lagged = joined.join(seasonal_lags(grid, spec.tz), ["key", "target_utc"], "left") if stored else with_seasonal_lags(joined, grid, spec.tz)
+    dated = with_calendar(lagged, spec.tz)
     history_complete = reduce(and_, [F.col(c).isNotNull() for c in HISTORY_COLUMNS])
     calendar_complete = reduce(and_, [F.col(c).isNotNull() for c in CALENDAR_COLUMNS])
     forecast_complete = ~F.coalesce(F.col("any_missing"), F.lit(True))

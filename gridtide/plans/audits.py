@@ -13,7 +13,7 @@ from ..sources import files, io, stages
 from ..spec import CONTRACT_A, CONTRACT_B, FeatureContract
 from . import base
 from .base import SPEC, naive, rounded, table
-from .queries import query
+from .queries import _FEATURES, _FEATURES_SQL, query
 
 CONTRACTS = (CONTRACT_A, CONTRACT_B)
 KEY_ONLY = FeatureContract("K", ("key",), ("demand_at_cutoff",))
@@ -123,6 +123,23 @@ def gated_stage(spark, sf):
     return stage.read().groupBy("horizon_hours").agg(F.count("*").alias("n_rows"), F.count_if("paired").alias("n_paired")).select("*", *figures)
 
 
+#: Buckets of the stored panel and grid here; for a panel of many keys, some for each core.
+BUCKETS = 16
+
+
+def stored_panel(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The panel's eligible rows and the grid, bucketed by key."""
+    panel = io.write_bucketed(base.panel(spark, sf).filter("available"), io.shared_path(spark, "panel"), "key", BUCKETS, ["cutoff_utc"])
+    return panel, io.write_bucketed(base.demand(spark, sf), io.shared_path(spark, "grid"), "key", BUCKETS, ["target_utc"])
+
+
+@query("stored_features", f"SELECT {_FEATURES_SQL} FROM features")
+def stored_features(spark, sf):
+    """The features of a stored panel and grid: no exchange after the two are stored."""
+    panel, grid = stored_panel(spark, sf)
+    return rounded(splits.assign_split(features.build_features(panel, grid, SPEC, stored=True), SPEC).select(*_FEATURES))
+
+
 @query("stage_rerun", "SELECT CAST(year(o_orderdate) AS INT) AS order_year, count(*) AS n_rows, round(sum(o_totalprice + CASE WHEN year(o_orderdate) % 2 = 1 THEN 1 ELSE 0 END), 2) AS total, year(o_orderdate) % 2 = 1 AS rewritten FROM orders GROUP BY year(o_orderdate)", plain=True)
 def stage_rerun(spark, sf):
     """Orders in slices by year, committed year by year; then the prices of odd years change, and the rerun writes only those."""

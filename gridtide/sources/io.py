@@ -37,6 +37,18 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, by: str, buckets: int, sort: list[str]) -> DataFrame:
+    """Store df in buckets of one column, sorted within, and read it back: joins, groups and windows by that column, or by it and others, need no exchange between tables with as many buckets.
+
+    The table is in the session's catalog under a name of its own; its files are in ``path``. Rows are dealt to buckets before they are written, so a bucket is one file. Sessions use the
+    buckets for joins by more columns only where they don't ask for all of them, which is set here.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by, *sort).option("path", path).saveAsTable(name)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return spark.table(name)
+
+
 def partition_files(lines: DataFrame, path: str, by: list[str]) -> None:
     """Lines (value) as text, one folder for each value of ``by``."""
     lines.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).text(path)

@@ -7,12 +7,12 @@ import __spark_entry__ as entry
 from gridtide.plans import queries as panel
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["forecast_parse", "pruned_scan", "inventory_check", "classify", "dst_gap", "dst_fold", "hour_axis", "demand_grid", "coverage_sets", "missing_by_dim", "nearest_point", "features", "baseline_metrics", "split_overlap", "profile_quality", "gates", "stage_gates", "csv_lookup", "json_runs", "output_inventory", "schema_export", "file_contract_by_file", "reference_contract", "sorted_write", "coverage_select", "profile_keys", "ml_linear", "ml_ridge_grid", "ml_final", "stage_rerun", "gated_stage", "planted_gates", "file_checksums", "changed_files", "footer_contract", "quantile_history"]
+SOME = ["forecast_parse", "pruned_scan", "inventory_check", "classify", "dst_gap", "dst_fold", "hour_axis", "demand_grid", "coverage_sets", "missing_by_dim", "nearest_point", "features", "baseline_metrics", "split_overlap", "profile_quality", "gates", "stage_gates", "csv_lookup", "json_runs", "output_inventory", "schema_export", "file_contract_by_file", "reference_contract", "sorted_write", "coverage_select", "profile_keys", "ml_linear", "ml_ridge_grid", "ml_final", "stage_rerun", "gated_stage", "planted_gates", "file_checksums", "changed_files", "footer_contract", "quantile_history", "stored_features"]
 
 
 def test_every_query_but_models_has_an_oracle():
     assert {k for k in panel.QUERIES if k not in panel.ORACLES} == {"ml_matrix", "ml_gbt", "ml_grid"}
-    assert len(panel.QUERIES) == 90 and set(panel.QUERIES) <= set(entry.queries())
+    assert len(panel.QUERIES) == 91 and set(panel.QUERIES) <= set(entry.queries())
 
 
 def plain(v):
@@ -47,6 +47,21 @@ def test_scans_are_pruned_and_hold_no_python(spark):
     assert "l_returnflag" not in items.split("== Physical Plan ==")[1]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_stored_features_exchange_nothing(spark):
+    from gridtide.operators import features
+    from gridtide.plans import audits
+
+    rows = features.build_features(*audits.stored_panel(spark, DATA), panel.SPEC, stored=True)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2 and plan.count("Window [") >= 2
+
+
 def test_flagship(spark):
     if os.path.isdir(DATA):
         assert entry.entry(spark).count() > 0
