@@ -54,3 +54,15 @@ def split_ranges(features: DataFrame) -> DataFrame:
     per = features.filter(F.col("split").isNotNull()).groupBy("split").agg(F.min("target_utc").alias("first_utc"), F.max("target_utc").alias("last_utc"), F.count("*").alias("n_rows"))
     after = F.lead("first_utc").over(Window.orderBy("first_utc"))
     return per.withColumn("in_order", F.coalesce(F.col("last_utc") < after, F.lit(True)))
+
+
+def definition_mismatches(features: DataFrame) -> DataFrame:
+    """By horizon: rows, and rows whose paired flag isn't what history and forecasts say."""
+    formula = F.col("history_complete") & ~F.coalesce("any_missing", F.lit(True))
+    return features.groupBy("horizon_hours").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("paired").eqNullSafe(formula)).alias("n_mismatch"))
+
+
+def forbidden_periods(features: DataFrame, spec: PanelSpec) -> DataFrame:
+    """By split: rows, rows of the first split after its end, and rows of the last one before its start."""
+    local, (first, _, end), (last, start, _) = to_local(F.col("target_utc"), spec.tz), spec.splits[0], spec.splits[-1]
+    return features.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_if((F.col("split") == first) & (local >= wall_time(end))).alias(f"n_late_{first}"), F.count_if((F.col("split") == last) & (local < wall_time(start))).alias(f"n_early_{last}"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.time import is_fold, is_gap, to_local, to_utc, wall_clock
+from ..functions.time import is_fold, is_gap, to_utc, wall_clock
 from ..operators import classify, features, forecasts, geo, grid, metrics, ml, profiling, quality, ridge, splits, timeaxis
 from ..sources import io
 from ..spec import CALENDAR_COLUMNS, CONTRACT_A, CONTRACT_B, HISTORY_COLUMNS
@@ -41,6 +41,15 @@ def src_provenance(spark, sf):
     return rows.groupBy("source_file", "source_month").agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"))
 
 
+@query("src_months", "SELECT strftime(o_orderdate, '%Y-%m') AS source_month, count(*) AS n_rows, min(o_orderdate) AS first_ts, max(o_orderdate) AS last_ts FROM orders GROUP BY 1", plain=True)
+def src_months(spark, sf):
+    """Files of a folder for each month, read by a glob; the month comes from the path."""
+    path = io.shared_path(spark, "monthly")
+    io.write_partitioned(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.date_format("o_orderdate", "yyyy-MM").alias("month")), path, ["month"])
+    rows = io.read_with_provenance(spark, f"{path}/month=*", from_folder=True)
+    return rows.groupBy("source_month").agg(F.count("*").alias("n_rows"), F.min("o_orderdate").alias("first_ts"), F.max("o_orderdate").alias("last_ts"))
+
+
 @query("forecast_parse", "SELECT run_utc, point, target_utc, forecast_value, forecast_k FROM parsed")
 def forecast_parse(spark, sf):
     return naive(forecasts.parse_runs(base.runs(spark, sf)))
@@ -322,16 +331,13 @@ def paired_population(spark, sf):
 
 @query("paired_definition", "SELECT horizon_hours, count(*) AS n_rows, count(*) FILTER (paired <> (history_complete AND NOT coalesce(any_missing, TRUE))) AS n_mismatch FROM features GROUP BY 1")
 def paired_definition(spark, sf):
-    formula = F.col("history_complete") & ~F.coalesce("any_missing", F.lit(True))
-    return base.feature_rows(spark, sf).groupBy("horizon_hours").agg(F.count("*").alias("n_rows"), F.count_if(F.col("paired") != formula).alias("n_mismatch"))
+    return splits.definition_mismatches(base.feature_rows(spark, sf))
 
 
 @query("split_guard", f"""SELECT split, count(*) AS n_rows, count(*) FILTER (split = 'train' AND l >= TIMESTAMP '2024-03-20') AS n_late_train,
   count(*) FILTER (split = 'test' AND l < TIMESTAMP '2024-03-25') AS n_early_test FROM (SELECT split, {oracle.BACK('target_utc')} AS l FROM features) GROUP BY 1""")
 def split_guard(spark, sf):
-    local = to_local(F.col("target_utc"), TZ)
-    rows = base.feature_rows(spark, sf)
-    return rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_if((F.col("split") == "train") & (local >= F.lit("2024-03-20").cast("timestamp"))).alias("n_late_train"), F.count_if((F.col("split") == "test") & (local < F.lit("2024-03-25").cast("timestamp"))).alias("n_early_test"))
+    return splits.forbidden_periods(base.feature_rows(spark, sf), SPEC)
 
 
 @query("split_overlap", """WITH s AS (SELECT DISTINCT split, target_utc FROM features WHERE split IS NOT NULL), p AS (SELECT a.split AS a, b.split AS b FROM (SELECT DISTINCT split FROM s) a, (SELECT DISTINCT split FROM s) b WHERE a.split < b.split)
@@ -611,6 +617,24 @@ def ml_grid(spark, sf):
 _BEST = "best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY horizon_hours, feature_set ORDER BY mae, rmse, config) = 1)"
 
 
+@query("model_ab_delta", _with_models("""SELECT horizon_hours, mae_a, rmse_a, mae_b, rmse_b, round(mae_b - mae_a, 6) AS mae_delta, round(rmse_b - rmse_a, 6) AS rmse_delta FROM (SELECT horizon_hours, round(max(mae) FILTER (feature_set = 'A'), 6) AS mae_a, round(max(rmse) FILTER (feature_set = 'A'), 6) AS rmse_a,
+  round(max(mae) FILTER (feature_set = 'B'), 6) AS mae_b, round(max(rmse) FILTER (feature_set = 'B'), 6) AS rmse_b FROM best GROUP BY 1)""", *_SCORES, _BEST), plain=True)
+def model_ab_delta(spark, sf):
+    """What the forecasts add: the best ridge with them less the best without, on validation rows of each horizon."""
+    best = ml.select_configs(_ridge_scores(_ridge(_paired(spark, sf), _TRAIN, _VALIDATE, _LINEAR)))
+    return rounded(metrics.ab_deltas(rounded(best), ["horizon_hours"]))
+
+
+@query("model_improvement", _with_models(f"""SELECT b.horizon_hours, b.feature_set, b.n_rows, round(b.mae, 6) AS mae, round(l.mae, 6) AS baseline_mae, round(round(l.mae, 6) - round(b.mae, 6), 6) AS improvement,
+  round((round(l.mae, 6) - round(b.mae, 6)) * 100 / round(l.mae, 6), 6) AS improvement_percent FROM best b JOIN baseline_scores l ON l.horizon_hours = b.horizon_hours AND l.baseline = 'week_before' AND l.{_VALIDATION.replace(' AND ', ' AND l.')}""", *_SCORES, _BEST), plain=True)
+def model_improvement(spark, sf):
+    """How far the best ridge of each horizon and feature set is below the week before, on the same validation rows."""
+    rows = _paired(spark, sf)
+    best = rounded(ml.select_configs(_ridge_scores(_ridge(rows, _TRAIN, _VALIDATE, _LINEAR)))).select("horizon_hours", "feature_set", "n_rows", "mae")
+    week = metrics.baseline_metrics(metrics.baselines_long(rows)).filter(_VALIDATION).filter("baseline = 'week_before'")
+    return rounded(metrics.baseline_improvement(best, rounded(week), ["horizon_hours"]))
+
+
 @query("ml_final", _with_models(
     f"SELECT f.key, f.target_utc, f.horizon_hours, f.actual, round(f.raw_prediction, 5) AS raw_prediction, round(f.prediction, 5) AS prediction, f.feature_set FROM final f JOIN best b USING (horizon_hours, feature_set, config)",
     *_SCORES, _BEST, oracle.ridge("final", "split <> 'test'", "split = 'test'", tuple(c.name for c in _LINEAR))), plain=True)

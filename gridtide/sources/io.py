@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_with_provenance(spark: SparkSession, path: str, month_pattern: str = r"(\d{4}-\d{2})") -> DataFrame:
-    """Parquet files under a glob, with source_file (name) and source_month (from the name; empty if it has none)."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+def read_with_provenance(spark: SparkSession, path: str, month_pattern: str = r"(\d{4}-\d{2})", from_folder: bool = False) -> DataFrame:
+    """Parquet files under a glob, with source_file (name) and source_month (from the name, or from the folder's; empty if it has none)."""
+    part = lambda k: F.element_at(F.split(F.col("_metadata.file_path"), "/"), k)
     rows = spark.read.parquet(path)
-    return rows.select("*", name.alias("source_file")).withColumn("source_month", F.regexp_extract("source_file", month_pattern, 1))
+    return rows.select("*", part(-1).alias("source_file"), F.regexp_extract(part(-2 if from_folder else -1), month_pattern, 1).alias("source_month"))
 
 
 def read_lookup_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
