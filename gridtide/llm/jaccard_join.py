@@ -37,7 +37,7 @@ BITS, SKETCH_BITS = 256, 1024
 #: Classes of a group that one task compares with one another.
 BLOCK = 1 << 10
 #: Prefix shingles that stand before one, of which a row in its group keeps the nearest, so that pairs meet by the first they share.
-BEFORE = 32
+BEFORE = 8
 #: Pairs of a class that are verified at first; each further step takes as many times more.
 FIRST_PAIRS = 8
 #: Rounds of hubs.
@@ -219,20 +219,20 @@ def _jaccard_join(docs: DataFrame, percent: int) -> DataFrame:
     held = ("n", "odd", *[f"bits{k}" for k in range(1, ORDERS)])
     sides = staged(passed.join(_sorted_side(sets.select("cls", "odd")), "cls").join(_sorted_side(prefixes), "cls"), "sides")
 
-    # Groups of the first order's prefix shingles: each row a class, the place of the shingle in its order, and how many classes it meets.
-    before = F.slice("tokens", F.greatest(F.col("at") - (BEFORE - 1), F.lit(1)), F.least("at", F.lit(BEFORE)))
-    index = sides.select("cls", "alone", "tokens", F.posexplode("tokens").alias("at", "token")).select("token", "cls", (F.col("alone") + F.col("at") + 1).alias("place"), before.alias("before"))
+    # Groups of the first order's prefix shingles. Rounds carry no more than a shingle and a class; what else they need is joined by class.
+    index = sides.select(F.explode("tokens").alias("token"), "cls")
     sizes = index.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     met = staged(index.join(_sorted_side(sizes), "token"), "met")
     weights = met.groupBy("cls").agg(F.sum("size").alias("weight"))
-    rows = staged(met.drop("size").join(_sorted_side(weights), "cls").join(_sorted_side(sets.select("cls", "mins")), "cls"), "rows")
+    rows, of_class = met.select("token", "cls"), staged(weights.join(_sorted_side(sets.select("cls", "mins")), "cls"), "of_class")
 
     def side(x: str) -> DataFrame:
         return _sorted_side(sides.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in held]))
 
-    def labelled() -> DataFrame:
-        """rows with the label of their component."""
-        return rows.withColumn("label", F.col("cls")) if labels is None else rows.join(_sorted_side(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    def labelled(*more: Column) -> DataFrame:
+        """rows with the label of their component, and more of the class."""
+        known = of_class.withColumn("label", F.col("cls")) if labels is None else of_class.join(_sorted_side(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        return rows.join(_sorted_side(known.select("cls", "label", *more)), "cls")
 
     def untested(pairs: DataFrame) -> DataFrame:
         """Of pairs of classes, those that no round has looked at and that may link."""
@@ -241,20 +241,24 @@ def _jaccard_join(docs: DataFrame, percent: int) -> DataFrame:
 
     links = labels = tested = None
     for r in range(ROUNDS):
-        now = labelled().withColumn("least", F.get("mins", F.lit(r)))
+        now = labelled(F.col("weight"), F.get("mins", F.lit(r)).alias("least"))
         best = F.max(F.struct("weight", "cls", "label")).alias("best")
         hubs = now.groupBy("token", "least").agg(F.min("label").alias("low"), F.max("label").alias("high"), best).filter("low < high").select("token", "least", F.col("best.cls").alias("hub"), F.col("best.label").alias("hub_label"))
-        met = now.join(_sorted_side(hubs), ["token", "least"]).filter("label <> hub_label")
+        met = now.drop("weight").join(_sorted_side(hubs), ["token", "least"]).filter("label <> hub_label")
         pairs = staged(untested(met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))), "pairs")
         new = _verified(pairs, sets, percent)
         links, tested = (new, pairs) if links is None else (links.unionByName(new), tested.unionByName(pairs))
         labels = component_labels(links)
 
     # What the hubs leave: classes of a group that are still in different components.
-    now = labelled().select("token", "cls", "place", "before", "label")
+    now = labelled()
     blocks = F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}")
     mixed = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks")).filter("low < high").select("token", "blocks")
-    left = staged(now.join(_sorted_side(mixed), "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).join(_sorted_side(sides.select("cls", *held)), "cls"), "open")
+    before = F.slice("tokens", F.greatest(F.col("at") - (BEFORE - 1), F.lit(1)), F.least("at", F.lit(BEFORE)))
+    places = sides.select("cls", "alone", "tokens", F.posexplode("tokens").alias("at", "token")).select("token", "cls", (F.col("alone") + F.col("at") + 1).alias("place"), before.alias("before"))
+    open_places = places.join(_sorted_side(mixed), "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    label_of = of_class.select("cls").join(_sorted_side(labels), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
+    left = staged(open_places.join(_sorted_side(sides.select("cls", *held)), "cls").join(_sorted_side(label_of), "cls"), "open")
     kept = ("cls", "place", "before", "label", *held)
     x = left.select("token", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias("a" if c == "cls" else f"{c}_a") for c in kept])
     y = left.select(F.col("token").alias("token_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i_b"), F.col("block").alias("j_b"), *[F.col(c).alias("b" if c == "cls" else f"{c}_b") for c in kept])
