@@ -219,6 +219,35 @@ def seen(node: Node, inherited: bool) -> bool | None:
     return inherited
 
 
+def rendered(node: Node) -> list:
+    """The children that have a box: of closed details, the first summary only."""
+    if node.tag != "details" or "open" in node.attributes:
+        return node.children
+    return [x for x in node.children if isinstance(x, Node) and x.tag == "summary"][:1]
+
+
+def _whole(node: Node, name: str, default: int) -> int:
+    """A whole number of up to nine digits that an attribute gives."""
+    given = node.attributes.get(name, "").strip()
+    return int(given) if re.fullmatch(r"[+-]?[0-9]{1,9}", given) else default
+
+
+def numeral(n: int, kind: str) -> str:
+    """A list item's number as a list of that type shows it: letters or Roman numerals where they reach, else digits."""
+    if kind in ("a", "A") and n > 0:
+        letters = ""
+        while n > 0:
+            n, k = divmod(n - 1, 26)
+            letters = chr(ord(kind) + k) + letters
+        return letters
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, roman in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out, n = out + roman * (n // value), n % value
+        return out.upper() if kind == "I" else out
+    return str(n)
+
+
 def _span(node: Node, name: str, limit: int) -> int:
     raw = node.attributes.get(name, "1").strip()
     return max(1, min(int(raw.lstrip("0")[:6] or "1"), limit)) if raw.isascii() and raw.isdigit() else 1
@@ -371,18 +400,20 @@ def render(root: Node) -> str:
             elif in_table:
                 tables[-1].end_group()
             elif tag in ("ul", "ol", "menu"):
-                number = item.attributes.get("start", "1")
-                lists.append([tag, int(number) if re.fullmatch(r"-?[0-9]{1,9}", number) else 1])
+                down = tag == "ol" and "reversed" in item.attributes
+                first = sum(1 for x in item.children if isinstance(x, Node) and x.tag == "li") if down else 1
+                lists.append([tag, _whole(item, "start", first), -1 if down else 1, item.attributes.get("type", "1")])
             elif tag == "li":
-                kind = lists[-1] if lists else ["ul", 1]
-                page.marker = (f"{kind[1]}. " if kind[0] == "ol" else "- ") if shown else ""
-                kind[1] += 1
+                kind = lists[-1] if lists else ["ul", 1, 1, "1"]
+                kind[1] = _whole(item, "value", kind[1])
+                page.marker = (numeral(kind[1], item.attributes.get("type", kind[3])) + ". " if kind[0] == "ol" else "- ") if shown else ""
+                kind[1] += kind[2]
             elif tag in ("dd", "blockquote"):
                 page.indent = (page.indent + "  ")[:MAX_INDENT]
             elif tag in ("pre", "textarea", "xmp"):
                 kept += 1
             todo.append(("leave", item, (before, in_table)))
-            todo.extend(("enter", child, None) for child in reversed(item.children))
+            todo.extend(("enter", child, None) for child in reversed(rendered(item)))
             continue
         before, in_table = extra
         shown = before[2]

@@ -260,3 +260,20 @@ def test_an_append_that_dies_can_be_repeated(spark, monkeypatch, step):
     sharding.compact(spark, root, fanout=3)
     assert sharding.append(rows, root, batch="tuesday") == [] and sharding.batch_version(spark, root, "tuesday") == 2
     assert sharding.append(rows, root) == [len(sharding.versions(spark, root))]
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ol start=9><li>a<li value=20>b<li>c<li value=x>d</ol>", "9. a\n20. b\n21. c\n22. d"),
+    ("<ol reversed start=2><li>a<li>b<li>c</ol>", "2. a\n1. b\n0. c"),
+    ("<ol type=a start=26><li>a<li>b</ol>", "z. a\naa. b"),
+    ("<ol type=I><li>a<li value=4>b<li type=i value=1999>c<li value=4000>d</ol>", "I. a\nIV. b\nmcmxcix. c\n4000. d"),
+    ("<ol type=A start=0><li>a<li>b</ol>", "0. a\nA. b"),
+    ("<ol><li>a<ol reversed><li>x<li>y</ol><li>b</ol>", "1. a\n   2. x\n   1. y\n2. b"),
+    ("<ul type=a><li value=7>a</ul><p>z", "- a\n\nz"),
+    ("a<details>x<summary>s<b>t</b></summary><p>hidden<summary>second</summary></details>b", "a\nst\nb"),
+    ("<details open><summary>s</summary>shown</details>", "s\nshown"),
+    ("<details>only hidden<details open><summary>in</summary></details></details>z", "z"),
+])
+def test_lists_and_details(source, text):
+    assert html_text.render(html_text.build_tree(source)) == text
