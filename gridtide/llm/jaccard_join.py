@@ -103,15 +103,23 @@ def _sorted_side(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+def _outside(token: str, order: Column) -> Column:
+    """Whether a shingle (an unsigned number, held as a long) is outside the part of an order."""
+    return F.expr(f"(shiftrightunsigned({token}, 1) % {PARTS} * 2 + ({token} & 1)) % {PARTS}") != order
+
+
 def _prefixes(pools: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Of pools (keys, n, own, tokens): n, tokens and alone: the prefix shingles that pools of other sets hold too, by frequency, and how many shingles are known to come before them.
 
     keys are the class and, if pools are of several orders, the order's number. Shingles that stand alone are the first of an order, so the shared ones are the prefix's end.
     """
-    of_order = keys[1:]
+    of_order, order = keys[1:], F.col(keys[1]) if keys[1:] else F.lit(0)
     rows = pools.select(*keys, F.explode("tokens").alias("token"))
     counts = rows.groupBy(*of_order, "token").agg(F.count("*").alias("df")).filter("df > 1")
-    found = rows.join(_sorted_side(counts), [*of_order, "token"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found"))
+    # The order itself: its part by frequency, then the others by their unsigned hash.
+    away = _outside("token", order)
+    place = F.struct(away.alias("away"), F.when(away, F.lit(0)).otherwise(F.col("df")).alias("df"), F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("hash"), "token")
+    found = rows.join(_sorted_side(counts), [*of_order, "token"]).groupBy(*keys).agg(F.sort_array(F.collect_list(place)).alias("found"))
     joined = pools.drop("tokens").join(_sorted_side(found), keys).withColumn("length", F.expr(f"n - ({percent} * n + 99) div 100 + 1"))
     alone = joined.withColumn("alone", F.when(F.col("own") >= F.col("length"), F.col("own") - F.size("found")).otherwise(F.lit(0)).cast("long"))
     # With fewer shingles in the order's part than the prefix has, the pool is the prefix.

@@ -177,6 +177,26 @@ def test_prefixes_of_links_meet_under_every_order():
                     assert pools[0] & pools[1]
 
 
+def test_shared_prefixes_follow_the_order(spark):
+    """What is kept of a prefix is in the order of all sets: the order's part by frequency, then the other shingles by hash."""
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    base = r.integers(0, 1 << 64, 400, dtype=np.uint64)
+    sets = [np.unique(r.choice(base, n, replace=False)) for n in (3, 8, 8, 12, 20, 30, 60, 60, 120)]
+    for order in range(3):
+        pools = [jaccard_join.pool(x, order, 85) for x in sets]
+        rows = [(k, order, len(x), own, p.view(np.int64).tolist()) for k, (x, (p, own)) in enumerate(zip(sets, pools, strict=True))]
+        got = jaccard_join._prefixes(spark.createDataFrame(rows, "cls long, k int, n long, own long, tokens array<long>"), ["cls", "k"], 85).collect()
+        df = Counter(t for p, _ in pools for t in p.tolist())
+        for x in got:
+            pool, own = pools[x.cls]
+            ranked = sorted(pool.tolist(), key=lambda t: (t % jaccard_join.PARTS != order, 0 if t % jaccard_join.PARTS != order else df[t], t))
+            prefix = ranked[: jaccard_join.prefix_length(len(sets[x.cls]), 85)]
+            assert [t % (1 << 64) for t in x.tokens] == [t for t in prefix if df[t] > 1]
+            assert all(ranked.index(t % (1 << 64)) >= x.alone + k for k, t in enumerate(x.tokens))
+
+
 # Spelling variants
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
