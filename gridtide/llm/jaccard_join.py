@@ -10,8 +10,8 @@ to pass all of them:
 * Sets meet by the first order's prefix shingles. Of a pair, the prefixes of each further order have to share a bit (of BITS); the places of the shingle that
   it meets by bound the overlap; sizes and parity sketches bound it too. None of these loses a link.
 
-Equal sets are one class and count once. What is left of the pairs is verified on full sets. Not all pairs have to be verified to know the components: in ROUNDS rounds, the
-classes of a group are parted by a least hash of their whole sets, which near sets are likely to share, and each is paired with the hub of its part, the class that meets most others. Then all
+Equal sets are one class and count once. What is left of the pairs is verified on full sets. Not all pairs have to be verified to know the components: the classes of a group are
+parted by each of LEAST least hashes of their whole sets, which near sets are likely to share, and each is paired with the hub of its part, the class that meets most others. Then all
 classes of a group that are still in different components are compared, in blocks of BLOCK, so that no task holds a large group and no link is lost.
 """
 
@@ -40,12 +40,12 @@ BLOCK = 1 << 10
 BEFORE = 8
 #: Pairs of a class that are verified at first; each further step takes as many times more.
 FIRST_PAIRS = 8
-#: Rounds of hubs.
-ROUNDS = 3
+#: Least hashes that groups are parted by.
+LEAST = 3
 #: Hashes of ids that are sent to all tasks to find the texts of wanted classes: this many at most, however large the corpus.
 ID_HASHES = 1 << 20
 
-_SEEDS = np.random.default_rng(20240504).integers(1, 1 << 63, ROUNDS, dtype=np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(20240504).integers(1, 1 << 63, LEAST, dtype=np.uint64) | np.uint64(1)
 _PLACES = np.random.default_rng(20240503).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -71,8 +71,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def least_hashes(shingles: np.ndarray) -> np.ndarray:
-    """ROUNDS least hashes of a set; two sets share one as often as they are similar."""
-    return np.array([_mix(shingles * seed).min() for seed in _SEEDS] if len(shingles) else [0] * ROUNDS, np.uint64)
+    """LEAST least hashes of a set; two sets share one as often as they are similar."""
+    return np.array([_mix(shingles * seed).min() for seed in _SEEDS] if len(shingles) else [0] * LEAST, np.uint64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -227,7 +227,7 @@ def _jaccard_join(docs: DataFrame, percent: int) -> DataFrame:
     held = ("n", "odd", *[f"bits{k}" for k in range(1, ORDERS)])
     sides = staged(passed.join(_sorted_side(sets.select("cls", "odd")), "cls").join(_sorted_side(prefixes), "cls"), "sides")
 
-    # Groups of the first order's prefix shingles. Rounds carry no more than a shingle and a class; what else they need is joined by class.
+    # Groups of the first order's prefix shingles. Rows carry no more than a shingle and a class; what else is needed is joined by class.
     index = sides.select(F.explode("tokens").alias("token"), "cls")
     sizes = index.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
     met = staged(index.join(_sorted_side(sizes), "token"), "met")
@@ -237,35 +237,22 @@ def _jaccard_join(docs: DataFrame, percent: int) -> DataFrame:
     def side(x: str) -> DataFrame:
         return _sorted_side(sides.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in held]))
 
-    def labelled(*more: Column) -> DataFrame:
-        """rows with the label of their component, and more of the class."""
-        known = of_class.withColumn("label", F.col("cls")) if labels is None else of_class.join(_sorted_side(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        return rows.join(_sorted_side(known.select("cls", "label", *more)), "cls")
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        """Of pairs of classes, those that no round has looked at and that may link."""
-        new = pairs.distinct() if tested is None else pairs.distinct().join(_sorted_side(tested), ["a", "b"], "left_anti")
-        return new.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent)).select("a", "b")
-
-    links = labels = tested = None
-    for r in range(ROUNDS):
-        now = labelled(F.col("weight"), F.get("mins", F.lit(r)).alias("least"))
-        best = F.max(F.struct("weight", "cls", "label")).alias("best")
-        hubs = now.groupBy("token", "least").agg(F.min("label").alias("low"), F.max("label").alias("high"), best).filter("low < high").select("token", "least", F.col("best.cls").alias("hub"), F.col("best.label").alias("hub_label"))
-        met = now.drop("weight").join(_sorted_side(hubs), ["token", "least"]).filter("label <> hub_label")
-        pairs = staged(untested(met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))), "pairs")
-        new = _verified(pairs, sets, percent)
-        links, tested = (new, pairs) if links is None else (links.unionByName(new), tested.unionByName(pairs))
-        labels = component_labels(links)
+    # Hubs of the parts of each group, by each of the least hashes.
+    parts = rows.join(_sorted_side(of_class.select("cls", "weight", F.posexplode("mins").alias("r", "least"))), "cls")
+    hubs = parts.groupBy("token", "r", "least").agg(F.max(F.struct("weight", "cls")).alias("best"), F.count("*").alias("size")).filter("size > 1").select("token", "r", "least", F.col("best.cls").alias("hub"))
+    stars = parts.drop("weight").join(_sorted_side(hubs), ["token", "r", "least"]).filter("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    tested = staged(stars.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent)).select("a", "b"), "pairs")
+    links = _verified(tested, sets, percent)
+    labels = component_labels(links)
 
     # What the hubs leave: classes of a group that are still in different components.
-    now = labelled()
+    label_of = staged(of_class.select("cls").join(_sorted_side(labels), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label")), "label_of")
+    now = rows.join(_sorted_side(label_of), "cls")
     blocks = F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}")
     mixed = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks")).filter("low < high").select("token", "blocks")
     before = F.slice("tokens", F.greatest(F.col("at") - (BEFORE - 1), F.lit(1)), F.least("at", F.lit(BEFORE)))
     places = sides.select("cls", "alone", "tokens", F.posexplode("tokens").alias("at", "token")).select("token", "cls", (F.col("alone") + F.col("at") + 1).alias("place"), before.alias("before"))
     open_places = places.join(_sorted_side(mixed), "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    label_of = of_class.select("cls").join(_sorted_side(labels), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
     left = staged(open_places.join(_sorted_side(sides.select("cls", *held)), "cls").join(_sorted_side(label_of), "cls"), "open")
     kept = ("cls", "place", "before", "label", *held)
     x = left.select("token", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias("a" if c == "cls" else f"{c}_a") for c in kept])
