@@ -133,18 +133,18 @@ def _folded(tokens: str) -> Column:
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
-    """cls, set (binary), its parity sketch, its least hashes, and its pools of the further orders, of the classes in wanted (cls, digest, rep): the texts of their first documents are hashed again."""
+    """cls, n, set (binary), its parity sketch, its least hashes, and its pools of the further orders, of the classes in wanted (cls, digest, rep): the texts of their first documents are hashed again."""
     more = [f"{c}{k}" for k in range(1, ORDERS) for c in ("own", "tokens")]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets([(x or "").encode() for x in batch.column(2).to_pylist()])
             same = pa.array([_digest(x) == d for x, d in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-            columns = [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), _lists([odd_sketch(x) for x in sets]), _lists([least_hashes(x) for x in sets])]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), _lists([odd_sketch(x) for x in sets]), _lists([least_hashes(x) for x in sets])]
             for k in range(1, ORDERS):
                 pools = [pool(x, k, percent) for x in sets]
                 columns += [pa.array([own for _, own in pools], pa.int64()), _lists([x for x, _ in pools])]
-            yield pa.RecordBatch.from_arrays(columns, names=["cls", "set", "odd", "mins", *more]).filter(same)
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "set", "odd", "mins", *more]).filter(same)
 
     def hashed_id(c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(ID_HASHES))
@@ -153,7 +153,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     found = texts.select(F.col("doc_id").alias("__d"), "text", hashed_id("doc_id").alias("__h")).join(F.broadcast(some), "__h", "left_semi")
     joined = _sorted_side(wanted).join(found, F.col("rep").eqNullSafe(F.col("__d"))).select("cls", "digest", "text")
     kinds = ", ".join(f"own{k} long, tokens{k} array<long>" for k in range(1, ORDERS))
-    return joined.mapInArrow(hashed, f"cls long, set binary, odd array<long>, mins array<long>, {kinds}").dropDuplicates(["cls"])
+    return joined.mapInArrow(hashed, f"cls long, n long, set binary, odd array<long>, mins array<long>, {kinds}").dropDuplicates(["cls"])
 
 
 def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
@@ -169,20 +169,21 @@ def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
+    """The pairs (a, b, and what else they carry) with 100 * intersection >= percent * union on full sets."""
+    carried = pairs.columns
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(carried).filter(pa.array(keep, pa.bool_()))
 
     x, y = (_sorted_side(sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}"))) for c in "ab")
-    return staged(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(similar, "a long, b long"), "links")
+    return staged(pairs.join(x, "a").join(y, "b").select(*carried, "set_a", "set_b").mapInArrow(similar, pairs.schema), "links")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -220,8 +221,7 @@ def _jaccard_join(docs: DataFrame, percent: int) -> DataFrame:
     wanted = staged(prefixes.select("cls").join(_sorted_side(classes), "cls"), "wanted")
     sets = staged(_sets_of(texts, wanted, percent), "sets", compression="none")
 
-    sized = sets.join(_sorted_side(prefixes.select("cls", "n")), "cls")
-    further = reduce(DataFrame.unionByName, [sized.select("cls", F.lit(k).alias("k"), "n", F.col(f"own{k}").alias("own"), F.col(f"tokens{k}").alias("tokens")) for k in range(1, ORDERS)])
+    further = reduce(DataFrame.unionByName, [sets.select("cls", F.lit(k).alias("k"), "n", F.col(f"own{k}").alias("own"), F.col(f"tokens{k}").alias("tokens")) for k in range(1, ORDERS)])
     bits = _prefixes(further, ["cls", "k"], percent).groupBy("cls").agg(F.count("*").alias("orders"), *[F.max(F.when(F.col("k") == k, _folded("tokens"))).alias(f"bits{k}") for k in range(1, ORDERS)])
     passed = bits.filter(F.col("orders") == ORDERS - 1).drop("orders")
     held = ("n", "odd", *[f"bits{k}" for k in range(1, ORDERS)])
@@ -238,12 +238,11 @@ def _jaccard_join(docs: DataFrame, percent: int) -> DataFrame:
         return _sorted_side(sides.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in held]))
 
     # Hubs of the parts of each group, by each of the least hashes.
-    parts = rows.join(_sorted_side(of_class.select("cls", "weight", F.posexplode("mins").alias("r", "least"))), "cls")
+    parts = staged(rows.join(_sorted_side(of_class.select("cls", "weight", F.posexplode("mins").alias("r", "least"))), "cls"), "parts")
     hubs = parts.groupBy("token", "r", "least").agg(F.max(F.struct("weight", "cls")).alias("best"), F.count("*").alias("size")).filter("size > 1").select("token", "r", "least", F.col("best.cls").alias("hub"))
     stars = parts.drop("weight").join(_sorted_side(hubs), ["token", "r", "least"]).filter("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
     tested = staged(stars.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent)).select("a", "b"), "pairs")
-    links = _verified(tested, sets, percent)
-    labels = component_labels(links)
+    labels = component_labels(_verified(tested, sets, percent), stored=True)
 
     # What the hubs leave: classes of a group that are still in different components.
     label_of = staged(of_class.select("cls").join(_sorted_side(labels), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label")), "label_of")
@@ -263,20 +262,29 @@ def _jaccard_join(docs: DataFrame, percent: int) -> DataFrame:
     fits = (100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b"))
     once = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
     first = ~F.arrays_overlap("before_a", "before_b")
-    across = x.join(_sorted_side(y), met & once & (F.col("label_a") != F.col("label_b")) & fits & _may_link(percent) & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs, some = staged(across.join(_sorted_side(tested), ["a", "b"], "left_anti"), "pairs"), FIRST_PAIRS
-    while True:
-        # Some pairs of each class, then more; what has come into one component meanwhile needs no test.
-        chosen = staged(pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(some)).alias("k")).agg(F.min("b").alias("b")).select("a", "b"), "pairs")
-        if not chosen.limit(1).count():
+    across = x.join(_sorted_side(y), met & once & (F.col("label_a") != F.col("label_b")) & fits & _may_link(percent) & first)
+    ends = [F.when(F.col("a") < F.col("b"), F.col(f"label_{x}")).otherwise(F.col(f"label_{y}")).alias(f"label_{x}") for x, y in ("ab", "ba")]
+    once_each = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *ends).groupBy("a", "b").agg(F.min("label_a").alias("label_a"), F.min("label_b").alias("label_b"))
+    pairs = staged(once_each.join(_sorted_side(tested), ["a", "b"], "left_anti"), "pairs")
+    component = classes.join(_sorted_side(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    some, tests, left = FIRST_PAIRS, 0, pairs.count()
+    while left:
+        # Some pairs of each class, then more; what has come into one component meanwhile needs no test. Once no more are left than were tested before, all of them are.
+        few = F.min(F.struct("b", "label_a", "label_b")).alias("p")
+        chosen = pairs if left <= tests else staged(pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(some)).alias("k")).agg(few).select("a", "p.*"), "pairs")
+        links = _verified(chosen, sets, percent)
+        # Components are the nodes now: a link of classes is one of their labels.
+        joined = component_labels(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), stored=True)
+        newer = joined.select(F.col("cls").alias("label"), F.col("label").alias("now"))
+        component = component.join(newer, "label", "left").select("cls", "digest", "rep", F.coalesce("now", "label").alias("label"))
+        if chosen is pairs:
             break
-        links = links.unionByName(_verified(chosen, sets, percent))
-        labels = component_labels(links)
-        of_a, of_b = (_sorted_side(labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}"))) for c in "ab")
-        apart = pairs.join(_sorted_side(chosen), ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left").filter("coalesce(label_a, a) <> coalesce(label_b, b)")
-        pairs, some = staged(apart.select("a", "b"), "pairs"), some * FIRST_PAIRS
+        of_a, of_b = (joined.select(F.col("cls").alias(f"label_{c}"), F.col("label").alias(f"now_{c}")) for c in "ab")
+        apart = pairs.join(_sorted_side(chosen.select("a", "b")), ["a", "b"], "left_anti").join(of_a, "label_a", "left").join(of_b, "label_b", "left")
+        apart = apart.select("a", "b", *[F.coalesce(f"now_{c}", f"label_{c}").alias(f"label_{c}") for c in "ab"]).filter("label_a <> label_b")
+        pairs, tests, some = staged(apart, "pairs"), chosen.count(), some * FIRST_PAIRS
+        left = pairs.count()
 
-    component = classes.join(_sorted_side(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = component.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = component.join(_sorted_side(smallest), "label").select("digest", "component_id")
     return signs.join(_sorted_side(of_class), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

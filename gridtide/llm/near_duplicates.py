@@ -189,13 +189,14 @@ def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (F.bit_count(differing) <= MAX_DISTANCE) & (bits * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
-def component_labels(edges: DataFrame) -> DataFrame:
-    """cls, label: the smallest class that edges (a, b) reach, for each class with an edge.
+def component_labels(edges: DataFrame, *, stored: bool = False) -> DataFrame:
+    """cls, label: the smallest class that edges (a, b) reach, for each class with an edge. Edges that are ``stored`` already are read as they are.
 
     Each round takes the smallest label among neighbours, then the label's own label, so paths shorten
     by half; rounds are cut by tables in the shared folder and end when nothing changes.
     """
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = both if stored else staged(both.distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         seen = both.join(labels.select(F.col("cls").alias("b"), "label"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("near"))
