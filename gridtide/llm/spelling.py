@@ -46,8 +46,9 @@ def text_words(doc_id: int | None, text: str | None, misspell: int = MISSPELL) -
     found = Counter(RUN.findall((text or "").encode().lower()))
     if misspell and doc_id is not None:
         start = zlib.crc32(f"{doc_id}:".encode())
-        for word in [w for w in found if zlib.crc32(w, start) % misspell == 0]:
-            n = found.pop(word)
+        # All that lose a code point leave before what becomes of them comes, as that may be another that loses one.
+        spoilt = {w: found.pop(w) for w in [w for w in found if zlib.crc32(w, start) % misspell == 0]}
+        for word, n in spoilt.items():
             found[_without(word, zlib.crc32(word, start))] += n
     return found
 

@@ -266,6 +266,13 @@ def test_spelling_variants(spark, seed):
     assert variants(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
 
 
+def test_a_run_loses_one_code_point_only(spark):
+    """What a run becomes may be another run of the text that loses one too; it loses no second one."""
+    rows = [(1381, "aaaaaaa " * 4 + "aaaaaa " * 8), (25298, "aaaaaaaa aaaaaaa " * 3), (3, "aaaaaa aaaaaab " * 5)]
+    assert spelling.text_words(*rows[0]) == {b"aaaaaa": 4, b"aaaaa": 8}
+    assert variants(spark.createDataFrame(rows, "doc_id long, text string")) == plain_variants(rows)
+
+
 def test_pivots_are_apart_and_cheapest():
     r = random.Random(3)
     for _ in range(300):
