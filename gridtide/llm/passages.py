@@ -10,10 +10,10 @@ values. Two passages with similarity 0.8 share an order's value with probability
    with the shingles of the pieces of text that they cover.
 2. These shingles meet by value. A passage with less than SHARED shingles that other texts hold too has no near-duplicate, so its start leaves.
 3. Windows with equal shingles are a class: all but those of its smallest doc_id are exact repeats of that one, and are settled.
-4. What is left meets by signature. In the first rounds a window is paired with one other of its group: that of the smallest doc_id;
-   then, where starts are unsettled, that of the next smaller doc_id and the smallest unsettled one. Groups of what is still unsettled are
-   divided by the values of further pairs of orders, and a window is paired with the smallest of each part that it is in.
-   So pairs grow with the windows, not with the square of a group; tests compare what is found with all pairs.
+4. What is left meets by signature. First a window is paired with the one of its group with the smallest doc_id, which settles most.
+   Windows with starts that are still unsettled are compared with all of their group, in blocks of BLOCK_WINDOWS that are dealt to tasks. A pair leaves only by a
+   bound that loses none: of the shingles that all passages of one window hold, at most PASSAGE - SHARED may be missing in the other window. What is left is verified.
+   So pairs of rows grow with the windows; comparisons of what no smaller doc_id settles grow with the square of a group, in arrays.
 5. Pairs of windows become pairs of pieces, each once with all its alignments, and are verified on their shingles: a start is settled
    where at least SHARED of the passage's shingles stand in an equally long passage of the other piece, and SHARED of that one's in it.
 """
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, scratch, staged, text_bytes
@@ -37,8 +37,11 @@ HASHES, BAND = 8, 2
 SHARED = -(-8 * PASSAGE // 9)
 #: Shingles between windows that are kept in one piece.
 PIECE_GAP = 64
-#: Windows of a group that are ordered together.
-PART = 1 << 12
+#: Windows of a group that are compared with as many others, hash buckets of their shingles, partners that a whole window is tested with, windows whose starts
+#: are laid out at a time, and starts that are looked at more closely at a time.
+BLOCK_WINDOWS, BUCKETS, WHOLE, CHUNK, PAIRS = 1 << 10, 1 << 10, 3, 1 << 6, 1 << 9
+#: Shingles of a window at most: all of its passages hold one of them.
+WIDE = 2 * PASSAGE - 1
 #: Starts whose smallest shingles are sought at a time; a multiple of 64.
 BLOCK = 1 << 14
 
@@ -223,10 +226,10 @@ def _find_shared(table: pa.Table) -> pa.Table:
     return pa.table([table["batch"], table["bucket"], pa.array(bodies, pa.binary())], names=["batch", "bucket", "codes"])
 
 
-def _shared_codes(sent: DataFrame, name: str) -> DataFrame:
+def _shared_codes(sent: DataFrame) -> DataFrame:
     """batch and shared: its codes that stand in more than one text, by bucket."""
     found = sent.groupBy("bucket").applyInArrow(_find_shared, "batch long, bucket int, codes binary")
-    return staged(found.groupBy("batch").agg(F.collect_list(F.struct("bucket", "codes")).alias("shared")), name)
+    return found.groupBy("batch").agg(F.collect_list(F.struct("bucket", "codes")).alias("shared"))
 
 
 def _received(shared: list[dict]) -> np.ndarray:
@@ -238,6 +241,81 @@ def _received(shared: list[dict]) -> np.ndarray:
     return np.concatenate(known)
 
 
+def _laid_out(windows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window, its shingles as a row (then 0), the last start of a passage, and its doc."""
+    n = np.array([len(w["shingles"]) // 4 for w in windows])
+    rows = np.zeros((len(n), WIDE), np.uint32)
+    rows[np.arange(WIDE) < n[:, None]] = np.frombuffer(b"".join(w["shingles"] for w in windows), np.uint32)
+    return rows, n - PASSAGE, np.array([w["doc"] for w in windows])
+
+
+def _held(shingles: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which buckets the passages from a first to a last start fall in, and how many of the shingles that all of them hold fall in each."""
+    buckets, place = shingles % BUCKETS, np.arange(WIDE)
+    held, core = np.zeros((len(buckets), BUCKETS), np.float32), np.zeros((len(buckets), BUCKETS), np.float32)
+    rows, at = np.nonzero((place >= first[:, None]) & (place < last[:, None] + PASSAGE))
+    held[rows, buckets[rows, at]] = 1
+    rows, at = np.nonzero((place >= last[:, None]) & (place < first[:, None] + PASSAGE))
+    np.add.at(core, (rows, buckets[rows, at]), 1)
+    return held, core
+
+
+def settled_by(x: list[dict], y: list[dict]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """Windows of x with the starts, from the window's first, of passages that are near-duplicates of one in a window of y with a smaller doc, and that doc.
+
+    Every start is compared with every window until one settles it: first whole windows with the WHOLE nearest ones, then what is left start by start.
+    """
+    (xs, ends, docs), (ys, y_ends, y_docs) = _laid_out(x), _laid_out(y)
+    y_held, y_core = _held(ys, np.zeros(len(y), np.int64), y_ends)
+    good = np.arange(PASSAGE) > ends[:, None]  # what is no start counts as settled
+    tried = docs[:, None] <= y_docs
+
+    def bound(of: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For windows' starts from a first to a last one and each window of y, at most so many shingles are missing in the other where two passages are near; more where none are."""
+        held, core = _held(xs[of], first, last)
+        return np.where(tried[of], PASSAGE, np.maximum(core @ (1 - y_held).T, (1 - held) @ y_core.T))
+
+    def test(p: int, q: int) -> Iterator[tuple[int, np.ndarray, int]]:
+        """All open starts of a window with all of another."""
+        if tried[p, q] or good[p].all():
+            return
+        tried[p, q] = True
+        some = np.flatnonzero(~good[p])
+        lo, hi = int(some[0]), int(some[-1])
+        one, other = xs[p, lo : hi + PASSAGE], ys[q, : y_ends[q] + PASSAGE]
+        new = lo + np.flatnonzero(similar_starts(one, other, list(range(PASSAGE - len(one), len(other) - PASSAGE + 1))) & ~good[p, lo : hi + 1])
+        if len(new):
+            good[p, new] = True
+            yield p, new, int(y_docs[q])
+
+    whole = bound(np.arange(len(x)), np.zeros(len(x), np.int64), ends)
+    for p, row in enumerate(np.argsort(whole, axis=1, kind="stable")[:, :WHOLE].tolist()):
+        for q in row:
+            if whole[p, q] <= PASSAGE - SHARED:
+                yield from test(p, q)
+    for at in range(0, len(x), CHUNK):
+        of, starts = np.nonzero(~good[at : at + CHUNK])
+        of, take = of + at, 1
+        missing = bound(of, starts, starts)
+        while len(of):
+            nearest = np.argpartition(missing, min(take, len(y)) - 1, axis=1)[:, :take]
+            row = np.repeat(np.arange(len(of)), nearest.shape[1])
+            q = nearest.ravel()
+            may = missing[row, q] <= PASSAGE - SHARED
+            row, q = row[may], q[may]
+            missing[row, q] = PASSAGE
+            for k in range(0, len(row), PAIRS):
+                # A start with fewer shingles in the other window than are to be shared, or that no passage there has enough of, is not settled by it.
+                r, w = row[k : k + PAIRS], q[k : k + PAIRS]
+                r, w = (v[~good[of[r], starts[r]]] for v in (r, w))
+                same = xs[of[r][:, None], starts[r][:, None] + np.arange(PASSAGE)][:, :, None] == ys[w][:, None, :]
+                near = (same.any(axis=2).sum(axis=1) >= SHARED) & (_rolled(same.any(axis=1)) >= SHARED).any(axis=1)
+                for p, other in zip(of[r[near]].tolist(), w[near].tolist(), strict=True):
+                    yield from test(p, other)
+            left = ~good[of, starts] & (missing <= PASSAGE - SHARED).any(axis=1)
+            of, starts, missing, take = of[left], starts[left], missing[left], min(4 * take, len(y))
+
+
 def near_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, n_dup_words, spans: words in passages that are near-duplicates of a passage in a document with a smaller doc_id.
 
@@ -263,7 +341,7 @@ def _near_passages(docs: DataFrame, doc_id: str, text: str, part_bytes: int) ->
                 if found:
                     yield _send(row["batch"], np.concatenate([_codes(x[2], parts) for x in found]), np.concatenate([ids[owner[x[0]]] for x in found]), parts)
 
-    of_window = {"doc": np.int64, "ord": np.int32, "base": np.int64, "slot": np.int32, "s0": np.int64, "s1": np.int64, "c": np.int64, "value": np.uint64, "minima": np.uint64}
+    of_window = {"doc": np.int64, "ord": np.int32, "base": np.int64, "slot": np.int32, "s0": np.int64, "s1": np.int64, "c": np.int64, "value": np.uint64}
     of_piece = {"p_doc": np.int64, "p_ord": np.int32, "p_base": np.int64, "p_lo": np.int64, "p_n": np.int64, "low": np.uint32}
 
     def keep_windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,12 +359,8 @@ def _near_passages(docs: DataFrame, doc_id: str, text: str, part_bytes: int) ->
                 ords, ends = owner[s0], np.maximum.accumulate(s1) + PASSAGE
                 new = np.ones(len(s0), bool)
                 new[1:] = (ords[1:] != ords[:-1]) | (s0[1:] > ends[:-1] + PIECE_GAP)
-                # A byte of each order's smallest shingle, for the middle of the window's passages.
-                middle, values = np.clip(c - PASSAGE // 2, s0, s1), np.zeros(len(s0), np.uint64)
-                for at in minima:
-                    values = (values << np.uint64(8)) | (_mix(mixed[at[middle]]) >> np.uint64(56))
                 lo, hi, low = s0[new], ends[np.append(new[1:], True)], (mixed >> np.uint64(32)).astype(np.uint32)
-                packed = [ids[ords], ords, begins[ords], np.cumsum(new) - 1, s0, s1, c, value, values]
+                packed = [ids[ords], ords, begins[ords], np.cumsum(new) - 1, s0, s1, c, value]
                 packed += [ids[ords[new]], ords[new], begins[ords[new]], lo, hi - lo, np.concatenate([low[p:q] for p, q in zip(lo.tolist(), hi.tolist(), strict=True)])]
                 kinds = {**of_window, **of_piece}
                 yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), *[pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(packed, kinds.values(), strict=True)]], names=["batch", *kinds])
@@ -303,10 +377,10 @@ def _near_passages(docs: DataFrame, doc_id: str, text: str, part_bytes: int) ->
                 yield _send(row["batch"], _codes(_mix(low.astype(np.uint64)), parts), np.repeat(doc, n), parts)
 
     def send_windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["code", "cls", "doc", "batch", "ord", "slot", "s0", "s1", "c", "values", "lo", "shingles"]
+        names = ["code", "cls", "doc", "batch", "ord", "slot", "s0", "s1", "c", "lo", "shingles"]
         for batch in rows:
             for row in batch.to_pylist():
-                doc, ords, base, slot, s0, s1, c, value, values = unpacked(row, of_window)
+                doc, ords, base, slot, s0, s1, c, value = unpacked(row, of_window)
                 _, p_ord, p_base, p_lo, p_n, low = unpacked(row, of_piece)
                 hashed = _mix(low.astype(np.uint64))
                 held = np.concatenate([_rolled(np.isin(_codes(hashed, parts), _received(row["shared"] or ()))) >= SHARED, np.zeros(PASSAGE, bool)])
@@ -324,17 +398,19 @@ def _near_passages(docs: DataFrame, doc_id: str, text: str, part_bytes: int) ->
                 n, here = len(of), off[of]
                 cls = _mix(_mix(value[of] + body) + ((a - here - c[of]) * 4096 + (b - a)).astype(np.uint64))
                 texts = [x - base[of] for x in (a - here, b - here, c[of])]
-                columns = [pa.array(value[of].view(np.int64)), pa.array(cls.view(np.int64)), pa.array(doc[of]), pa.array(np.full(n, row["batch"])), pa.array(ords[of]), pa.array(slot[of]), *[pa.array(x.astype(np.int32)) for x in texts], pa.array(values[of].view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+                columns = [pa.array(value[of].view(np.int64)), pa.array(cls.view(np.int64)), pa.array(doc[of]), pa.array(np.full(n, row["batch"])), pa.array(ords[of]), pa.array(slot[of]), *[pa.array(x.astype(np.int32)) for x in texts], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 n, empty = len(p_n), lambda kind: pa.nulls(len(p_n), kind)  # noqa: B023
-                columns = [*[empty(pa.int64())] * 3, pa.array(np.full(n, row["batch"])), pa.array(p_ord), pa.array(np.arange(n, dtype=np.int32)), *[empty(pa.int32())] * 3, empty(pa.int64()), pa.array((p_lo - p_base).astype(np.int32)), pa.array([x.tobytes() for x in np.split(low, np.cumsum(p_n)[:-1])], pa.binary())]
+                columns = [*[empty(pa.int64())] * 3, pa.array(np.full(n, row["batch"])), pa.array(p_ord), pa.array(np.arange(n, dtype=np.int32)), *[empty(pa.int32())] * 3, pa.array((p_lo - p_base).astype(np.int32)), pa.array([x.tobytes() for x in np.split(low, np.cumsum(p_n)[:-1])], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    window_schema = "code long, cls long, doc long, batch long, ord int, slot int, s0 int, s1 int, c int, values long, lo int, shingles binary"
+    window_schema = "code long, cls long, doc long, batch long, ord int, slot int, s0 int, s1 int, c int, lo int, shingles binary"
     with scratch(docs.sparkSession):  # what leads to the windows goes once they are written
-        shared = _shared_codes(batches.select(*blobs).mapInArrow(send_values, _SENT), "shared")
-        kept = staged(batches.select(*blobs).join(shared.hint("shuffle_hash"), "batch").mapInArrow(keep_windows, packed_schema), "kept", compression="zstd")
-        often = _shared_codes(kept.select("batch", *of_piece).mapInArrow(send_shingles, _SENT), "shared_shingles")
+        with scratch(docs.sparkSession):
+            shared = staged(_shared_codes(batches.select(*blobs).mapInArrow(send_values, _SENT)), "shared")
+            kept = staged(batches.select(*blobs).join(shared.hint("shuffle_hash"), "batch").mapInArrow(keep_windows, packed_schema), "kept", outlives=True, compression="zstd")
+        # By batch already, so the join moves the windows only.
+        often = _shared_codes(kept.select("batch", *of_piece).mapInArrow(send_shingles, _SENT))
         both = staged(kept.join(often.hint("shuffle_hash"), "batch", "left").mapInArrow(send_windows, window_schema), "windows", outlives=True, compression="zstd")
     pieces = both.filter("shingles IS NOT NULL").select("batch", "slot", "ord", "lo", "shingles")
     every = both.filter("shingles IS NULL").drop("lo", "shingles")
@@ -343,6 +419,12 @@ def _near_passages(docs: DataFrame, doc_id: str, text: str, part_bytes: int) ->
     repeats = ranked.filter("doc > least").select("batch", "slot", "ord", F.col("s0").alias("first"), F.col("s1").alias("last"), F.col("least").alias("source"))
     windows = ranked.filter("doc = least").drop("least", "ord")
 
+    near_schema = "batch long, slot int, ord int, first int, last int, source long"
+
+    def starts_of(out: list[tuple[int, ...]]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["batch", "slot", "ord", "first", "last", "source"])
+
     def verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out: list[tuple[int, ...]] = []
@@ -352,8 +434,17 @@ def _near_passages(docs: DataFrame, doc_id: str, text: str, part_bytes: int) ->
                     cuts = np.flatnonzero(np.diff(good) > 1)
                     for p, q in zip(good[np.concatenate([[0], cuts + 1])].tolist(), good[np.concatenate([cuts, [len(good) - 1]])].tolist(), strict=True):
                         out.append((at, slot, ord_, lo + p, lo + q, source))
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["batch", "slot", "ord", "first", "last", "source"])
+            yield starts_of(out)
+
+    def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            out: list[tuple[int, ...]] = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                for k, good, source in settled_by(x, y):
+                    w, cuts = x[k], np.flatnonzero(np.diff(good) > 1)
+                    for p, q in zip(good[np.concatenate([[0], cuts + 1])].tolist(), good[np.concatenate([cuts, [len(good) - 1]])].tolist(), strict=True):
+                        out.append((w["batch"], w["slot"], w["ord"], w["s0"] + p, w["s0"] + q, source))
+            yield starts_of(out)
 
     def verified(found: DataFrame) -> DataFrame:
         """batch, slot, ord, first, last, source: starts of windows with a partner ``o`` that are near-duplicates of passages in its piece."""
@@ -365,7 +456,7 @@ def _near_passages(docs: DataFrame, doc_id: str, text: str, part_bytes: int) ->
         left = pairs.join(x, ["batch", "slot"]).withColumn("shingles", F.expr(f"substring(shingles, 4 * (a - lo) + 1, 4 * (b - a + {PASSAGE}))"))
         both = left.join(y, ["batch2", "slot2"]).withColumn("from2", F.greatest(F.col("a") + F.col("down"), F.col("lo2")))
         joined = both.select("batch", "slot", "ord", "source", "shifts", F.col("a").alias("lo"), "shingles", F.col("from2").alias("lo2"), F.expr(f"substring(y, 4 * (from2 - lo2) + 1, 4 * (b + up + {PASSAGE} - from2))").alias("y"))
-        return staged(joined.mapInArrow(verify, "batch long, slot int, ord int, first int, last int, source long"), "verified")
+        return staged(joined.mapInArrow(verify, near_schema), "verified")
 
     def unsettled(windows: DataFrame, near: DataFrame) -> DataFrame:
         """Windows with a start that nothing settles."""
@@ -374,35 +465,29 @@ def _near_passages(docs: DataFrame, doc_id: str, text: str, part_bytes: int) ->
         return staged(joined.filter("settled IS NULL OR NOT exists(settled, x -> x.first <= s0 AND s1 <= x.last)").drop("settled"), "unsettled")
 
     here = F.struct("doc", "batch", "slot", "c")
+    smallest_of = windows.groupBy("code").agg(F.min(here).alias("o")).hint("merge")
 
-    def smallest_of(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("code").agg(F.min(here).alias("o")).hint("merge")
-
-    # Round 1: the smallest doc_id of each group. Round 2: the smallest that is unsettled, and the next smaller one.
-    others = unsettled(windows.join(smallest_of(windows), "code").filter("o.doc < doc"), repeats)
+    # Round 1: the smallest doc_id of each group.
+    others = unsettled(windows.join(smallest_of, "code").filter("o.doc < doc"), repeats)
     near = repeats.unionByName(verified(others))
+    # Round 2: what is unsettled with all of its group, block by block. Hashes deal a group's windows to blocks, and its blocks to tasks.
     left = unsettled(others.drop("o"), near)
-    before = Window.partitionBy("code", "part").orderBy("doc", "batch", "slot", "c")
-    opened = windows.join(left.select("code").distinct().hint("merge"), "code", "left_semi")
-    # Large groups are dealt to parts of about PART windows, so that no task holds one whole; the next smaller one is that of the part, whatever the ids are like.
-    sizes = opened.groupBy("code").agg((F.count("*") / PART).cast("long").alias("more"))
-    ranged = opened.join(sizes.hint("merge"), "code").withColumn("part", F.pmod(F.xxhash64("doc", "batch", "slot"), F.col("more") + 1))
-    previous = ranged.select("*", F.lag(here).over(before).alias("p")).select("code", "batch", "slot", "s0", F.when(F.col("p.doc") < F.col("doc"), F.col("p")).alias("o")).filter("o IS NOT NULL")
-    second = left.join(smallest_of(left), "code").filter("o.doc < doc").select("batch", "slot", "s0", "s1", "c", "o")
-    third = left.join(previous.hint("merge"), ["code", "batch", "slot", "s0"]).select("batch", "slot", "s0", "s1", "c", "o")
-    near = near.unionByName(verified(second.unionByName(third)))
-
-    # Round 3: the smallest of each part of a group, parted by the values of each two neighbouring orders.
-    left = unsettled(left, near)
-
-    def parted(rows: DataFrame, *columns: str) -> DataFrame:
-        pairs = [F.struct(F.lit(k).alias("k"), (F.shiftrightunsigned("values", 8 * k).bitwiseAND(F.lit(255)) * 256 + F.shiftrightunsigned("values", 8 * ((k + 1) % HASHES)).bitwiseAND(F.lit(255))).alias("v")) for k in range(HASHES)]
-        return rows.select("code", *columns, F.explode(F.array(*pairs)).alias("kv"))
-
-    open_codes = left.select("code").distinct().hint("merge")
-    smallest_parts = parted(windows.join(open_codes, "code", "left_semi"), "doc", "batch", "slot", "c").groupBy("code", "kv").agg(F.min(here).alias("o")).hint("merge")
-    rest = parted(left, "doc", "batch", "slot", "s0", "s1", "c").join(smallest_parts, ["code", "kv"]).filter("o.doc < doc")
-    near = near.unionByName(verified(rest.select("batch", "slot", "s0", "s1", "c", "o")))
+
+    def blocks(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+        """code, part and a block of its windows, each with its own shingles."""
+        own = F.expr(f"substring(shingles, 4 * (s0 - lo) + 1, 4 * (s1 - s0 + {PASSAGE}))").alias("shingles")
+        held = rows.select("code", "doc", "batch", "slot", "s0", "s1").join(pieces.hint("merge"), ["batch", "slot"]).select("code", "doc", "batch", "slot", "ord", "s0", own)
+        part = F.pmod(F.xxhash64("doc", "batch", "slot", "s0"), F.col("more") + 1).alias("part")
+        return held.join(sizes.hint("merge"), "code").groupBy("code", part).agg(F.collect_list(F.struct("doc", "batch", "slot", "ord", "s0", "shingles")).alias(name))
+
+    def sizes(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("code").agg((F.count("*") / BLOCK_WINDOWS).cast("long").alias("more"))
+
+    last = left.groupBy("code").agg(F.max("doc").alias("most")).hint("merge")
+    group = staged(windows.join(last, "code").filter("doc < most").drop("most"), "group")
+    dealt = blocks(left, sizes(left), "x").drop("part").join(sizes(group).hint("merge"), "code").select("code", "x", F.explode(F.sequence(F.lit(0).cast("long"), "more")).alias("part"))
+    pairs = dealt.join(blocks(group, sizes(group), "y").hint("merge"), ["code", "part"])
+    near = near.unionByName(staged(pairs.select("x", "y").mapInArrow(compare, near_schema), "compared"))
     spans = near.select("batch", "ord", F.col("first").alias("start"), (F.col("last") + PASSAGE + WORDS - 1).alias("end"), "source")
     found = staged(spans.groupBy("batch").agg(F.collect_list(F.struct("ord", "start", "end", "source")).alias("found")), "found")
 

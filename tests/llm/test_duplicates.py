@@ -190,6 +190,43 @@ def test_exact_passages_are_found_among_families_of_edited_copies(spark):
     assert missed == 0
 
 
+def test_all_windows_of_a_group_are_compared():
+    """Blocks of windows settle what trying all of their passages settles, however few of the others are near."""
+    r, base = np.random.default_rng(4), np.random.default_rng(3).integers(0, 1 << 32, 91, dtype=np.uint32)
+
+    def window(doc):
+        low, first = base.copy(), int(r.integers(0, 20))
+        for _ in range(int(r.integers(0, 4))):
+            k = int(r.integers(0, 87))
+            low[k : k + 5] = r.integers(0, 1 << 32, 5, dtype=np.uint32)
+        return {"doc": doc, "shingles": low[first : first + int(r.integers(46, 72))].tobytes()}
+
+    x, y = ([window(int(r.integers(0, 50))) for _ in range(n)] for n in (40, 150))
+    sets = [[set(low[s : s + 46].tolist()) for s in range(len(low) - 45)] for w in y for low in [np.frombuffer(w["shingles"], np.uint32)]]
+    want = set()
+    for k, w in enumerate(x):
+        low = np.frombuffer(w["shingles"], np.uint32).tolist()
+        for s in range(len(low) - 45):
+            if any(v["doc"] < w["doc"] and any(len(z & set(low[s : s + 46])) >= 41 for z in zs) for v, zs in zip(y, sets, strict=True)):
+                want.add((k, s))
+    got = [(k, s, doc) for k, starts, doc in passages.settled_by(x, y) for s in starts.tolist()]
+    assert len(want) > 100 and {g[:2] for g in got} == want and len(got) == len(want)
+    assert all(doc < x[k]["doc"] for k, _, doc in got)
+
+
+def test_copies_with_many_different_edits(spark, monkeypatch):
+    """Links among copies that are not near the smallest of their group are found, in blocks of any size."""
+    base = prose(51, 90).split(" ")
+    rows = [(k, edited(800 + k, base, 4)) for k in range(60)]
+    want = near_words(rows)
+    for size in (1 << 10, 1 << 3):
+        monkeypatch.setattr(passages, "BLOCK_WINDOWS", size)
+        got = {x.doc_id: {k for s in x.spans for k in range(s.start, s.end)} for x in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        hit = sum(map(len, got.values()))
+        print(f"60 copies with 4 edits, blocks of {size}: {hit} of {sum(map(len, want.values()))} words")
+        assert all(got[d] <= want[d] for d in want) and hit >= 0.95 * sum(map(len, want.values()))
+
+
 def test_near_passages_do_not_depend_on_ids(spark, monkeypatch):
     """Dense and sparse ids of the same texts give the same words, and parts of groups cost little."""
     base, found = prose(51, 90).split(" "), []
